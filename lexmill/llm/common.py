@@ -132,6 +132,12 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def sequence_hash(h: np.ndarray) -> int:
+    """A signed 64-bit hash of hashes in their order."""
+    up, _ = _Powers.of(len(h) + 1)
+    return int(mix((h * up[: len(h)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h))).view(np.int64)[0])
+
+
 def blocks_of(batch: pa.RecordBatch, column: str, most: int = 1 << 19):
     """Slices of a batch whose texts have about `most` bytes each, at least one row; bounds what numpy holds."""
     sizes = batch.column(column).cast(pa.large_string())
