@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,7 +70,8 @@ def build_index(spark, d):
 
 @register(indexed("SELECT term, doc_id FROM postings"))
 def index_sorted(spark, d):
-    path = tempfile.mkdtemp() if not (shared := spark.conf.get("spark.checkpoint.dir", None)) else f"{shared}/lexmill-index"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    path = f"{shared}/lexmill-index-{uuid.uuid4().hex}"
     ix.write_index(index(spark, d), path)
     return spark.read.parquet(path).select("term", "doc_id")
 
@@ -90,7 +92,7 @@ def binary_roundtrip(spark, d):
     export_index(ix.posting_lists(index(spark, d)), f"{local}/index.bin")
     where = f"{local}/index.bin"
     if shared:
-        where = f"{shared.removeprefix('file://')}/lexmill-index.bin"
+        where = f"{shared.removeprefix('file://')}/lexmill-{uuid.uuid4().hex}.bin"
         os.makedirs(os.path.dirname(where), exist_ok=True)
         shutil.copy(f"{local}/index.bin", where)
     return import_index(spark, where, verify=True).select("term", F.explode("doc_ids").alias("doc_id"))
