@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lexmill-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    spark._jvm.System.gc()  # else shuffle files of finished steps stay on the executors' disks until the driver needs memory
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -47,6 +49,18 @@ def forget(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Within it, Arrow batches to Python have so many rows at most: for rows that hold whole arrays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it has no more than so many rows, else as it is (a shuffle join)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexmill.llm.common import blocks_of, grams, stored, utf8, words
+from lexmill.llm.common import arrow_rows, blocks_of, grams, stored, utf8, words
 
 LEAST = 50  #: words of a passage
 GRAM = 20  #: words of a gram; a passage of LEAST words has LEAST - GRAM + 1 of them, and the least one is retained
@@ -112,22 +112,22 @@ def _array_pairs(suffixes: DataFrame, order: list[str]) -> DataFrame:
 
 
 def _extended(batches):
-    """Rows (d, h, d0, h0, shift, a, b) become (d, h, start, end, d0, h0, start0): matches of LEAST words or more."""
+    """Rows (d, h, d0, h0, shifts, a, b) become (d, h, start, end, d0, h0, start0): matches of LEAST words or more."""
     names = ["d", "h", "start", "end", "d0", "h0", "start0"]
     for batch in batches:
         out = []
-        raw = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        keys = [batch.column(c).to_pylist() for c in ("d", "h", "d0", "h0", "shift")]
-        for d, h, d0, h0, shift, a, b in zip(*keys, *raw, strict=True):
-            a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-            first, last = max(0, shift), min(len(a), len(b) + shift)
-            if last - first < LEAST:
-                continue
-            same = np.concatenate(([False], a[first:last] == b[first - shift : last - shift], [False]))
-            edges = np.flatnonzero(same[1:] != same[:-1])
-            for start, end in zip((edges[::2] + first).tolist(), (edges[1::2] + first).tolist(), strict=True):
-                if end - start >= LEAST:
-                    out.append((d, h, start, end, d0, h0, start - shift))
+        keys = [batch.column(c).to_pylist() for c in ("d", "h", "d0", "h0", "shifts")]
+        for d, h, d0, h0, shifts, a, b in zip(*keys, batch.column("a"), batch.column("b"), strict=True):
+            a, b = np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32)
+            for shift in shifts:
+                first, last = max(0, shift), min(len(a), len(b) + shift)
+                if last - first < LEAST:
+                    continue
+                same = np.concatenate(([False], a[first:last] == b[first - shift : last - shift], [False]))
+                edges = np.flatnonzero(same[1:] != same[:-1])
+                for start, end in zip((edges[::2] + first).tolist(), (edges[1::2] + first).tolist(), strict=True):
+                    if end - start >= LEAST:
+                        out.append((d, h, start, end, d0, h0, start - shift))
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(7)], names=names)
 
 
@@ -158,11 +158,12 @@ def matches(docs: DataFrame) -> DataFrame:
     pairs = pairs.union(_array_pairs(repeated, ["next", "before"])).union(_array_pairs(repeated, ["before", "next"]))
     here, there = F.struct("d", "h", "at"), F.struct(F.col("d0").alias("d"), F.col("h0").alias("h"), F.col("at0").alias("at"))
     pairs = pairs.where(here != there).select(F.greatest(here, there).alias("a"), F.least(here, there).alias("b"))
-    pairs = stored(pairs.select(F.col("a.d").alias("d"), F.col("a.h").alias("h"), F.col("b.d").alias("d0"), F.col("b.h").alias("h0"), (F.col("a.at") - F.col("b.at")).cast("int").alias("shift")).distinct())
+    pairs = stored(pairs.select(F.col("a.d").alias("d"), F.col("a.h").alias("h"), F.col("b.d").alias("d0"), F.col("b.h").alias("h0"), (F.col("a.at") - F.col("b.at")).cast("int").alias("shift")).groupBy("d", "h", "d0", "h0").agg(F.collect_set("shift").alias("shifts")))
     wanted = pairs.select("d", "h").union(pairs.select("d0", "h0")).distinct()
     texts = stored(keyed.join(wanted, ["d", "h"], "left_semi").dropDuplicates(["d", "h"]).mapInArrow(_word_bytes, "d long, h long, w binary"))
     both = pairs.join(texts.withColumnRenamed("w", "a"), ["d", "h"]).join(texts.select(F.col("d").alias("d0"), F.col("h").alias("h0"), F.col("w").alias("b")), ["d0", "h0"])
-    return both.select("d", "h", "d0", "h0", "shift", "a", "b").mapInArrow(_extended, "d long, h long, start long, end long, d0 long, h0 long, start0 long")
+    with arrow_rows(docs.sparkSession, 256):
+        return stored(both.select("d", "h", "d0", "h0", "shifts", "a", "b").mapInArrow(_extended, "d long, h long, start long, end long, d0 long, h0 long, start0 long"))
 
 
 def _merged(spans):
@@ -184,7 +185,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     null texts and texts of fewer than LEAST words have none. Equal rows are one document; null doc_ids come last and
     are told apart by text. Columns other than doc_id and text are ignored.
     """
-    found = stored(matches(docs))
+    found = matches(docs)
     sides = found.select("d", "h", "start", "end", F.lit(True).alias("late"), F.col("d0").alias("other"))
     sides = sides.union(found.select("d0", "h0", "start0", F.col("start0") + F.col("end") - F.col("start"), F.lit(False), F.col("d")))
     spans = sides.groupBy("d", "h", "start", "end").agg(F.max("late").alias("late"), F.min("other").alias("other"))  # few for a document, however many partners
