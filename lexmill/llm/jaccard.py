@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexmill.llm.common import blocks_of, grams, sequence_hash, stored, utf8, words
+from lexmill.llm.common import blocks_of, forget, grams, sequence_hash, stored, utf8, words
 
 N = 5  #: words of a shingle
 ZONE = int(0.36 * 2**64) - 2**63  #: shingles whose signed hash is below form the first part of the global order
@@ -73,11 +73,18 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame):
         self.spark = docs.sparkSession
         self.keyed = docs.select(F.col("doc_id").cast("long").alias("d"), "text")
-        #: (d, c, n, s) of every row of docs: s are the shingles of the zone.
-        self.rows = stored(self.keyed.mapInArrow(_sets(ZONE), SET))
+        self.passed: list[DataFrame] = []
+        #: (d, c, n, s) of every row of docs: s are the shingles of the zone. Only needed for the regions.
+        self.zoned = self.passing(self.keyed.mapInArrow(_sets(ZONE), SET))
+        self.rows = stored(self.zoned.select("d", "c", "n"))
         #: (x, n, rep): a class for each distinct sequence of words, with the doc_id of one document that has it.
         self.classes = stored(self.rows.where("n > 0").groupBy(F.col("c").alias("x")).agg(F.first("n").alias("n"), F.min("d").alias("rep")))
 
+    def passing(self, df: DataFrame) -> DataFrame:
+        """df stored until the regions are."""
+        self.passed.append(stored(df))
+        return self.passed[-1]
+
     def sets_of(self, wanted: DataFrame) -> DataFrame:
         """(x, n, s): the whole sets of the classes in wanted(x)."""
         docs = self.classes.join(wanted, "x", "left_semi").select(F.col("rep").alias("d"))
@@ -94,12 +101,12 @@ class JaccardJoin:
         so each may leave out regions with up to (k - 1) / 2 of them: those of pivots it shares least with, which are
         chance.
         """
-        first = self.rows.select(F.col("c").alias("x"), F.explode("s").alias("s"))
-        counted = stored(_counted(first))
-        met = stored(first.join(counted, "s").select("s", "x", "p", "hot", "m").distinct())
-        zone = self.rows.where("n > 0").groupBy(F.col("c").alias("x")).agg(F.first("n").alias("n"), F.first(F.size("s")).alias("z"))
+        first = self.zoned.select(F.col("c").alias("x"), F.explode("s").alias("s"))
+        counted = self.passing(_counted(first))
+        met = self.passing(first.join(counted, "s").select("s", "x", "p", "hot", "m").distinct())
+        zone = self.zoned.where("n > 0").groupBy(F.col("c").alias("x")).agg(F.first("n").alias("n"), F.first(F.size("s")).alias("z"))
         hot = met.where("hot").groupBy("x").agg(F.count("*").alias("hot"))
-        room = stored(zone.join(hot, "x", "left").select("x", "n", (F.col("z") - F.coalesce("hot", F.lit(0)) - _slack(F.col("n"))).alias("k")))
+        room = self.passing(zone.join(hot, "x", "left").select("x", "n", (F.col("z") - F.coalesce("hot", F.lit(0)) - _slack(F.col("n"))).alias("k")))
         cold = met.where("not hot")
         shared = cold.where("x != p").groupBy("x", "p").agg(F.count("*").alias("c"))
         order = Window.partitionBy("x").orderBy("c", "p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -113,13 +120,14 @@ class JaccardJoin:
     def _beyond(self, short: DataFrame, met: DataFrame) -> DataFrame:
         """Regions beyond the zone, of the classes short(x, n, k) whose prefixes don't end within it."""
         sets = self.sets_of(short.select("x"))
+        self.passed.append(sets)
         sets = sets.join(short.select("x", "k"), "x")
         rest = sets.select("x", F.explode(F.filter("s", lambda s: s >= ZONE)).alias("s"))
-        counted = stored(_counted(rest))
-        far = stored(rest.join(counted, "s").select("s", "x", "p", "hot", "m"))
+        counted = self.passing(_counted(rest))
+        far = self.passing(rest.join(counted, "s").select("s", "x", "p", "hot", "m"))
         hot = far.where("hot").groupBy("x").agg(F.count("*").alias("hot"))
         left = sets.select("x", "k", F.size(F.filter("s", lambda s: s >= ZONE)).alias("z")).join(hot, "x", "left")
-        left = stored(left.select("x", (F.col("k") + F.col("z") - F.coalesce("hot", F.lit(0))).alias("k")).where("k <= 0"))
+        left = self.passing(left.select("x", (F.col("k") + F.col("z") - F.coalesce("hot", F.lit(0))).alias("k")).where("k <= 0"))
         out = far.where("not hot").select(F.col("s").alias("g"), "x", "p")
         # Hot shingles, from rare to frequent, of classes with too few others: 1 - k of them.
         all_hot = met.where("hot").select("s", "x", "p", "m").union(far.where("hot").select("s", "x", "p", "m")).join(left, "x")
@@ -129,35 +137,34 @@ class JaccardJoin:
     def links(self, most_rounds: int = 64) -> DataFrame:
         """(x, p): links that join each component's classes; every link between classes is implied by them."""
         regions = stored(self.regions())
+        forget(*self.passed)
         whole = regions.select("x").union(regions.select("p")).distinct()
         sets = self.sets_of(whole)
         found = None
-        members = regions.select("g", "x", F.lit(True).alias("open"), F.lit(None).cast("long").alias("own"))
+        members = regions.select("g", "x", F.lit(True).alias("open"))
         pivots = regions.select("g", "p").distinct()
         for turn in range(most_rounds):
             compared = members.select("g", "x").join(pivots, "g").where("x != p")
-            near = stored(self._distances(compared.select("x", "p").distinct(), sets))
-            link = near.where("4 * shared >= 3 * (n + m - shared)")
-            found = link.select("x", "p") if found is None else found.union(link.select("x", "p"))
+            near = stored(self._distances(compared.select("x", "p").distinct(), sets).withColumn("linked", F.expr("4 * shared >= 3 * (n + m - shared)")).withColumn("u", 1 - F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))))
+            link = near.where("linked").select("x", "p")
+            found = link if found is None else found.union(link)
             # Within each region: is a set linked by a pivot, and how far is it from its nearest one?
-            far = F.coalesce(1 - F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")), F.lit(1.0))
-            seen = compared.join(near, ["x", "p"], "left").select("g", "x", "p", far.alias("u"), F.coalesce(F.expr("4 * shared >= 3 * (n + m - shared)"), F.lit(False)).alias("linked"))
+            seen = compared.join(near, ["x", "p"], "left").select("g", "x", "p", F.coalesce("u", F.lit(1.0)).alias("u"), F.coalesce("linked", F.lit(False)).alias("linked"))
             home = seen.groupBy("g", "x").agg(F.min(F.struct("u", "p")).alias("home"), F.max("linked").alias("linked"))
-            members = members.join(home, ["g", "x"]).join(pivots.select("g", F.col("p").alias("x")), ["g", "x"], "left_anti")
-            members = stored(members.select("g", "x", (F.col("open") & ~F.col("linked")).alias("open"), "home"))
-            if members.where("open").isEmpty():
-                break
+            left = members.join(home, ["g", "x"]).join(pivots.select("g", F.col("p").alias("x")), ["g", "x"], "left_anti")
+            left = stored(left.select("g", "x", (F.col("open") & ~F.col("linked")).alias("open"), "home"))
+            still = left.where("open").select("g", "x")
             # The window: a settled set stays only if an open one may be within R of it, seen from its pivot.
-            unsettled = members.where("open").select("g", "x").join(seen, ["g", "x"]).groupBy("g", "p").agg(F.min("u").alias("least"))
-            settled = members.where("not open").select("g", "x", F.col("home.u").alias("u"), F.col("home.p").alias("p")).join(unsettled, ["g", "p"]).where("least <= u + 0.25 + 1e-9")
-            members = members.where("open").select("g", "x", "open").union(settled.select("g", "x", F.lit(False).alias("open")))
-            several = members.groupBy("g").agg(F.count("*").alias("k"), F.max("open").alias("any")).where("k > 1 and any").select("g")
-            members = stored(members.join(several, "g", "left_semi"))
+            unsettled = still.join(seen, ["g", "x"]).groupBy("g", "p").agg(F.min("u").alias("least"))
+            settled = left.where("not open").select("g", "x", F.col("home.u").alias("u"), F.col("home.p").alias("p")).join(unsettled, ["g", "p"]).where("least <= u + 0.25 + 1e-9")
+            members = stored(still.withColumn("open", F.lit(True)).union(settled.select("g", "x", F.lit(False).alias("open"))))
             if members.isEmpty():
                 break
-            # Eight times as many pivots as before: the least open set of each of so many hashed parts of a region.
+            sets = stored(sets.join(members.select("x").distinct(), "x", "left_semi"))  # each round ships only what it may compare
+            # Eight times as many pivots as before: the least open set of each of so many hashed parts of a region. A
+            # region of one set has no pair with its pivot, so it ends there.
             part = F.pmod(F.xxhash64("x", F.lit(turn)), F.lit(8 ** min(turn + 1, 7)))
-            pivots = stored(members.where("open").groupBy("g", part.alias("part")).agg(F.min("x").alias("p")).select("g", "p"))
+            pivots = members.where("open").groupBy("g", part.alias("part")).agg(F.min("x").alias("p")).select("g", "p")
         else:
             raise RuntimeError("regions are still open")
         return stored(found.distinct())
@@ -189,12 +196,11 @@ def _connected(links: DataFrame) -> DataFrame:
     label = stored(both.groupBy("x").agg(F.least("x", F.min("y")).alias("root")))
     while True:
         around = both.join(label.select(F.col("x").alias("y"), "root"), "y").groupBy("x").agg(F.min("root").alias("near"))
-        step = stored(label.join(around, "x").select("x", F.least("root", "near").alias("root"), F.col("root").alias("old")))
-        over = step.select(F.col("x").alias("root"), F.col("root").alias("next"))
-        new = stored(step.join(over, "root", "left").select("x", F.least("root", F.coalesce("next", "root")).alias("root"), "old"))
-        changed = not new.where("root != old").isEmpty()
-        label = new.select("x", "root")
-        if not changed:
+        over = label.select(F.col("x").alias("root"), F.col("root").alias("next"))
+        step = label.join(around, "x").join(over, "root").select("x", F.least("root", "near", "next").alias("root"), F.col("root").alias("old"))
+        step = stored(step)
+        label = step.select("x", "root")
+        if step.where("root != old").isEmpty():
             return label
 
 
