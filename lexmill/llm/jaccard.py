@@ -5,7 +5,8 @@ order of shingles their first common one is among the first floor(n / 4) + 1 of
 the regions: a region is the sets that hold a shingle in their prefix, its pivot the least of them. Each set is
 compared with the pivots of its regions; the triangle inequality then leaves in a region only sets that no pivot of it
 linked, and those within a window of one (a set at distance u from a pivot can't link one beyond u + R). What is left
-joins recursively, with eight times as many pivots a round, until no region has an open set.
+joins recursively, with eight times as many pivots a round, until no region has an open set. Sets that different pivots
+linked are compared last, where they are in different components yet: again by pivots and windows (`bridged`).
 """
 
 from __future__ import annotations
@@ -135,17 +136,18 @@ class JaccardJoin:
         return out.union(all_hot.withColumn("rank", rank).where("rank <= 1 - k").select(F.col("s").alias("g"), "x", "p")).where("x != p")
 
     def links(self, most_rounds: int = 64) -> DataFrame:
-        """(x, p): links that join each component's classes; every link between classes is implied by them."""
+        """(x, p): links between classes; those between sets that different pivots linked are left to `bridged`."""
         regions = stored(self.regions())
         forget(*self.passed)
         whole = regions.select("x").union(regions.select("p")).distinct()
         sets = self.sets_of(whole)
+        self.regional, self.sets = regions, sets
         found = None
         members = regions.select("g", "x", F.lit(True).alias("open"))
         pivots = regions.select("g", "p").distinct()
         for turn in range(most_rounds):
             compared = members.select("g", "x").join(pivots, "g").where("x != p")
-            near = stored(self._distances(compared.select("x", "p").distinct(), sets).withColumn("linked", F.expr("4 * shared >= 3 * (n + m - shared)")).withColumn("u", 1 - F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))))
+            near = stored(self._near(compared.select("x", "p").distinct(), sets))
             link = near.where("linked").select("x", "p")
             found = link if found is None else found.union(link)
             # Within each region: is a set linked by a pivot, and how far is it from its nearest one?
@@ -154,9 +156,10 @@ class JaccardJoin:
             left = members.join(home, ["g", "x"]).join(pivots.select("g", F.col("p").alias("x")), ["g", "x"], "left_anti")
             left = stored(left.select("g", "x", (F.col("open") & ~F.col("linked")).alias("open"), "home"))
             still = left.where("open").select("g", "x")
-            # The window: a settled set stays only if an open one may be within R of it, seen from its pivot.
+            # The window: a settled set stays only if an open one may be within R of it, seen from its pivot. Beyond
+            # a third, sizes that are too different to be compared don't tell.
             unsettled = still.join(seen, ["g", "x"]).groupBy("g", "p").agg(F.min("u").alias("least"))
-            settled = left.where("not open").select("g", "x", F.col("home.u").alias("u"), F.col("home.p").alias("p")).join(unsettled, ["g", "p"]).where("least <= u + 0.25 + 1e-9")
+            settled = left.where("not open").select("g", "x", F.col("home.u").alias("u"), F.col("home.p").alias("p")).join(unsettled, ["g", "p"]).where("least <= u + 0.25 + 1e-9 or u > 0.33")
             members = stored(still.withColumn("open", F.lit(True)).union(settled.select("g", "x", F.lit(False).alias("open"))))
             if members.isEmpty():
                 break
@@ -169,6 +172,47 @@ class JaccardJoin:
             raise RuntimeError("regions are still open")
         return stored(found.distinct())
 
+    def bridged(self, label: DataFrame, most_rounds: int = 64) -> DataFrame:
+        """label(x, root) with components made one where a link joins sets that different pivots settled.
+
+        Within a region a settled set has its pivot's root, so only roots with two members or more count, and only
+        where there are several. The least set of each of so many hashed parts of a root is compared with the whole
+        region and then leaves it. A set also leaves it if, seen from a pivot, no set of another root is within a
+        window of it. Roots that a link joins become one before the next round.
+        """
+        members = self.regional.select("g", "x").union(self.regional.select("g", F.col("p").alias("x"))).distinct().join(label, "x")
+        for turn in range(most_rounds):
+            roots = members.groupBy("g", "root").agg(F.count("*").alias("c")).where(F.col("c") > (0 if turn else 1))
+            mixed = roots.withColumn("k", F.count("*").over(Window.partitionBy("g"))).where("k > 1").select("g", "root")
+            members = stored(members.join(mixed, ["g", "root"], "left_semi").select("g", "x", "root"))
+            if members.isEmpty():
+                return label
+            # Regions of the same sets are one.
+            same = members.groupBy("g").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("x")).alias("a"), F.bit_xor(F.xxhash64("x", F.lit(1))).alias("b"))
+            members = stored(members.join(same.groupBy("c", "a", "b").agg(F.min("g").alias("g")).select("g"), "g", "left_semi"))
+            part = F.pmod(F.xxhash64("x", F.lit(turn)), F.lit(8 ** min(turn, 7)))
+            pivots = stored(members.groupBy("g", "root", part.alias("part")).agg(F.min("x").alias("p")).select("g", "p", F.col("root").alias("r")))
+            compared = members.join(pivots, "g").where("x != p")
+            near = stored(self._near(compared.select("x", "p").distinct(), self.sets))
+            seen = compared.join(near.select("x", "p", "u", "linked"), ["x", "p"], "left")
+            # A pair that wasn't compared is beyond one half.
+            low = seen.groupBy("g", "p", "root").agg(F.min(F.coalesce("u", F.lit(0.5))).alias("low"))
+            two = low.groupBy("g", "p").agg(F.slice(F.array_sort(F.collect_list(F.struct("low", "root"))), 1, 2).alias("two"))
+            other = F.expr("array_min(transform(filter(two, t -> t.root != root), t -> t.low))")
+            alone = seen.where("u is not null").join(two, ["g", "p"]).withColumn("other", other).where("other is null or other > u + 0.25 + 1e-9").select("g", "x")
+            gone = alone.union(pivots.select("g", F.col("p").alias("x"))).distinct()
+            links = stored(seen.where("linked and root != r").select(F.col("root").alias("x"), F.col("r").alias("p")).distinct())
+            members = members.join(gone, ["g", "x"], "left_anti")
+            if not links.isEmpty():
+                joined = _connected(links).select(F.col("x").alias("root"), F.col("root").alias("to"))
+                rename = lambda df: df.join(joined, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
+                label, members = stored(rename(label).select("x", "root")), rename(members)
+        raise RuntimeError("components are still to be compared")
+
+    def _near(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """_distances with the distance u and whether it links."""
+        return self._distances(pairs, sets).withColumn("linked", F.expr("4 * shared >= 3 * (n + m - shared)")).withColumn("u", 1 - F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")))
+
     def _distances(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """(x, p, n, m, shared) of pairs whose sizes allow half a similarity or more (beyond, no window matters)."""
         sizes = self.classes.select("x", "n")
@@ -178,7 +222,7 @@ class JaccardJoin:
 
     def components(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row of docs."""
-        label = _connected(self.links())
+        label = self.bridged(_connected(self.links()))
         low = self.classes.join(label, "x", "left").select("x", F.coalesce("root", "x").alias("root"), "rep")
         least = low.groupBy("root").agg(F.min("rep").alias("component_id"))
         of_class = stored(low.join(least, "root").select(F.col("x").alias("c"), "component_id"))

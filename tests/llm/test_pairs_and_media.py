@@ -67,6 +67,25 @@ def test_components_equal_all_pairs(spark, monkeypatch, hot):
     assert sorted(map(tuple, jaccard.components(df).collect()), key=repr) == brute_components(rows)
 
 
+def bridge_groups(groups=6, copies=25, seed=11):
+    """Groups of near copies of two texts, which only shortened copies of both link with one another."""
+    r, rows = np.random.default_rng(seed), []
+    for g in range(groups):
+        base, a, b = ([f"{c}{g}_{k}" for k in range(n)] for c, n in (("o", 84), ("a", 20), ("b", 20)))
+        texts = [base + x[:12] for x in (a, b)] + [base + x + [f"own{g}_{c}_{k}"] for c, x in enumerate((a, b)) for k in range(copies)]
+        rows += [" ".join(x) for x in texts]
+    return [(int(k), x) for k, x in zip(r.permutation(len(rows)), rows, strict=True)]
+
+
+@pytest.mark.parametrize("hot", [64, 3])
+def test_components_with_bridges_equal_all_pairs(spark, monkeypatch, hot):
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    rows = bridge_groups()
+    want = brute_components(rows)
+    assert len({c for _, _, c in want}) == 6
+    assert sorted(map(tuple, jaccard.components(frame(spark, rows)).collect()), key=repr) == want
+
+
 def test_components_of_no_rows(spark):
     assert jaccard.components(frame(spark, [])).count() == 0
 
