@@ -1,4 +1,4 @@
-"""Suffix-array dedup: a sparse suffix array over minimiser positions, neighbours compared, matches extended both ways."""
+"""Suffix-array dedup: suffixes around repeated minimisers, grouped by their first 50 words; runs of these are passages."""
 
 from __future__ import annotations
 
@@ -6,9 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lexmill.llm.common import arrow_rows, blocks_of, grams, stored, utf8, words
+from lexmill.llm.common import arrow_rows, blocks_of, forget, grams, stored, utf8, words
 
 LEAST = 50  #: words of a passage
 GRAM = 20  #: words of a gram; a passage of LEAST words has LEAST - GRAM + 1 of them, and the least one is retained
@@ -33,146 +32,86 @@ def minimisers(g: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(_sliding(np.concatenate((edge, _sliding(g, window, np.minimum), edge)), window, np.maximum) == g)
 
 
-def _context(h: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
-    """16 bits of each of the four words from `at` on in direction `step`, as one number; 0 beyond the text."""
-    out = np.zeros(len(at), np.uint64)
-    for k in range(4):
-        p = at + k * step
-        ok = (p >= 0) & (p < len(h))
-        out = out << np.uint64(16) | np.where(ok, (h[np.clip(p, 0, len(h) - 1)] >> np.uint64(48)) | np.uint64(1), np.uint64(0))
-    return out
-
-
 def _suffixes(batches):
-    """Rows (d, h, text) become (g, next, before, d, h, at): the retained suffixes with what follows and precedes them."""
-    names = ["g", "next", "before", "d", "h", "at"]
+    """Rows (d, h, text) become (g, d, h, at): the grams that start retained suffixes."""
     for batch in batches:
         for part in blocks_of(batch, "text"):
             w, _, _, rows = words(*utf8(part.column("text")))
-            parts: list[list[np.ndarray]] = [[] for _ in range(4)]
+            found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             counts = np.zeros(part.num_rows, np.int64)
             for k in np.flatnonzero(np.diff(rows) >= LEAST).tolist():
-                x = w[rows[k] : rows[k + 1]]
-                g = grams(x, GRAM)
+                g = grams(w[rows[k] : rows[k + 1]], GRAM)
                 at = minimisers(g, LEAST - GRAM + 1)
                 counts[k] = len(at)
-                for column, value in zip(parts, (g[at], _context(x, at + GRAM, 1), _context(x, at - 1, -1), at), strict=True):
-                    column.append(value.astype(np.int64))
+                found.append(g[at])
+                places.append(at)
             owner = pa.array(np.repeat(np.arange(part.num_rows), counts))
-            g, after, before, at = (pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in parts)
-            yield pa.RecordBatch.from_arrays([g, after, before, part.column("d").take(owner), part.column("h").take(owner), at], names=names)
-
-
-PAIR = "pid int, place int, g long, d long, h long, at long, g0 long, d0 long, h0 long, at0 long"
-
-
-def _neighbours(batches):
-    """Sorted rows (pid, g, d, h, at) become pairs of neighbours with the same gram, and the partition's edges.
-
-    place 0: a pair; 1: the partition's first row; 2: its last one.
-    """
-    names = ["pid", "place", "g", "d", "h", "at", "g0", "d0", "h0", "at0"]
-    columns = ["g", "d", "h", "at"]
-    last, pid = None, None
+            g, at = pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(places))
+            yield pa.RecordBatch.from_arrays([g, part.column("d").take(owner), part.column("h").take(owner), at], names=["g", "d", "h", "at"])
 
-    def rows(place: int, here: list[np.ndarray], before: list[np.ndarray]):
-        n = len(here[0])
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, pid), pa.int32()), pa.array(np.full(n, place), pa.int32()), *(pa.array(x, pa.int64()) for x in here + before)], names=names)
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        here = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
-        if last is None:
-            pid = batch.column("pid")[0].as_py()
-            yield rows(1, [x[:1] for x in here], [x[:1] for x in here])
-            last = [x[:1] for x in here]
-            before = [np.concatenate((x[:1], x[:-1])) for x in here]
-            same = np.concatenate(([False], here[0][1:] == here[0][:-1]))
-        else:
-            before = [np.concatenate((a, x[:-1])) for a, x in zip(last, here, strict=True)]
-            same = here[0] == before[0]
-        yield rows(0, [x[same] for x in here], [x[same] for x in before])
-        last = [x[-1:].copy() for x in here]
-    if last is not None:
-        yield rows(2, last, last)
-
-
-def _array_pairs(suffixes: DataFrame, order: list[str]) -> DataFrame:
-    """Neighbouring pairs (d, h, at, d0, h0, at0) of the suffixes in the order of g and the columns of `order`."""
-    keys = ["g", *order, "d", "h", "at"]
-    ranged = suffixes.repartitionByRange(*keys).sortWithinPartitions(*keys).select(F.spark_partition_id().alias("pid"), "g", "d", "h", "at")
-    found = stored(ranged.mapInArrow(_neighbours, PAIR))
-    # One first and one last row a partition: what the partitions' edges hide.
-    edges = Window.orderBy("pid", "place")
-    before = [F.lag(c).over(edges).alias(f"{c}0") for c in ("place", "g", "d", "h", "at")]
-    hidden = found.where("place > 0").select("pid", "place", "g", "d", "h", "at").coalesce(1).select("place", "g", "d", "h", "at", *before).where("place = 1 and place0 = 2 and g = g0")
-    columns = ["d", "h", "at", "d0", "h0", "at0"]
-    return found.where("place = 0").select(*columns).union(hidden.select(*columns))
-
-
-def _extended(batches):
-    """Rows (d, h, d0, h0, shifts, a, b) become (d, h, start, end, d0, h0, start0): matches of LEAST words or more."""
-    names = ["d", "h", "start", "end", "d0", "h0", "start0"]
-    for batch in batches:
-        out = []
-        keys = [batch.column(c).to_pylist() for c in ("d", "h", "d0", "h0", "shifts")]
-        for d, h, d0, h0, shifts, a, b in zip(*keys, batch.column("a"), batch.column("b"), strict=True):
-            a, b = np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32)
-            for shift in shifts:
-                first, last = max(0, shift), min(len(a), len(b) + shift)
-                if last - first < LEAST:
-                    continue
-                same = np.concatenate(([False], a[first:last] == b[first - shift : last - shift], [False]))
-                edges = np.flatnonzero(same[1:] != same[:-1])
-                for start, end in zip((edges[::2] + first).tolist(), (edges[1::2] + first).tolist(), strict=True):
-                    if end - start >= LEAST:
-                        out.append((d, h, start, end, d0, h0, start - shift))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(7)], names=names)
-
-
-def _word_bytes(batches):
-    """Rows (d, h, text) become (d, h, w): 32 bits of each word's hash."""
+def _passages(batches):
+    """Rows (d, h, text, ats) become (key, d, h, at): the passages of LEAST words that hold one of the grams at ats."""
     for batch in batches:
         for part in blocks_of(batch, "text"):
             w, _, _, rows = words(*utf8(part.column("text")))
-            w = (w >> np.uint64(32)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([part.column("d"), part.column("h"), pa.array([w[rows[k] : rows[k + 1]].tobytes() for k in range(part.num_rows)], pa.binary())], names=["d", "h", "w"])
+            found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            counts = np.zeros(part.num_rows, np.int64)
+            for k, ats in enumerate(part.column("ats")):
+                key = grams(w[rows[k] : rows[k + 1]], LEAST)
+                ats = ats.values.to_numpy(zero_copy_only=False)
+                edges = np.zeros(len(key) + 1, np.int64)  # +1 where the passages that hold a gram begin, -1 after them
+                np.add.at(edges, np.maximum(ats - (LEAST - GRAM), 0), 1)
+                np.add.at(edges, np.minimum(ats + 1, len(key)), -1)
+                at = np.flatnonzero(np.cumsum(edges[:-1]))
+                counts[k] = len(at)
+                found.append(key[at])
+                places.append(at)
+            owner = pa.array(np.repeat(np.arange(part.num_rows), counts))
+            key, at = pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(places))
+            yield pa.RecordBatch.from_arrays([key, part.column("d").take(owner), part.column("h").take(owner), at], names=["key", "d", "h", "at"])
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, start, end, doc_id0, h0, start0): passages of LEAST words or more in two places, ends exclusive.
-
-    The place of doc_id0 is the earlier one. Words are runs of [^\\x20\\x09-\\x0D], A-Z lower-cased. Retained suffixes
-    start at minimiser grams, so any two places of a passage retain one of its suffixes at the same word. Those whose
-    gram occurs once are left out; the others are sorted by what follows and again by what precedes them, and each is
-    compared with its neighbours there and with the gram's first place. Hence every copy of a passage is in a match,
-    while a passage that a third of all documents share makes a few rows for each of them. Sorts are range partitions
-    over the whole key, so that such a passage is spread over tasks.
+    """(d, h, at, d0, h0, at0): each place of a passage of LEAST words but the first, and the first, by (d, h, at).
+
+    d is the doc_id, the greatest long for null, and h a hash of the text. Words are runs of [^\\x20\\x09-\\x0D], A-Z
+    lower-cased. Retained suffixes start at minimiser grams, so all places of a passage retain one of its suffixes at the
+    same word. Around those whose gram occurs twice, suffixes at every word are grouped by their first LEAST words, and
+    each is matched with the group's first place. Hence no place is lost, however much of its context others share,
+    and a passage that a third of all documents share makes one row for each of them. Passages are told apart by 64-bit
+    hashes; longer ones are runs of these.
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64("text").alias("h"), "text").where("text is not null")
-    prints = stored(keyed.mapInArrow(_suffixes, "g long, next long, before long, d long, h long, at long"))
-    first = prints.groupBy("g").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "at")).alias("p")).where("n > 1").drop("n")
-    repeated = stored(prints.join(first, "g"))
-    pairs = repeated.select("d", "h", "at", F.col("p.d").alias("d0"), F.col("p.h").alias("h0"), F.col("p.at").alias("at0"))
-    pairs = pairs.union(_array_pairs(repeated, ["next", "before"])).union(_array_pairs(repeated, ["before", "next"]))
-    here, there = F.struct("d", "h", "at"), F.struct(F.col("d0").alias("d"), F.col("h0").alias("h"), F.col("at0").alias("at"))
-    pairs = pairs.where(here != there).select(F.greatest(here, there).alias("a"), F.least(here, there).alias("b"))
-    pairs = stored(pairs.select(F.col("a.d").alias("d"), F.col("a.h").alias("h"), F.col("b.d").alias("d0"), F.col("b.h").alias("h0"), (F.col("a.at") - F.col("b.at")).cast("int").alias("shift")).groupBy("d", "h", "d0", "h0").agg(F.collect_set("shift").alias("shifts")))
-    wanted = pairs.select("d", "h").union(pairs.select("d0", "h0")).distinct()
-    texts = stored(keyed.join(wanted, ["d", "h"], "left_semi").dropDuplicates(["d", "h"]).mapInArrow(_word_bytes, "d long, h long, w binary"))
-    both = pairs.join(texts.withColumnRenamed("w", "a"), ["d", "h"]).join(texts.select(F.col("d").alias("d0"), F.col("h").alias("h0"), F.col("w").alias("b")), ["d0", "h0"])
+    prints = stored(keyed.mapInArrow(_suffixes, "g long, d long, h long, at long"))
+    twice = prints.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    wanted = stored(prints.join(twice, "g", "left_semi").groupBy("d", "h").agg(F.collect_set("at").alias("ats")))
+    texts = keyed.join(wanted, ["d", "h"]).dropDuplicates(["d", "h"])
     with arrow_rows(docs.sparkSession, 256):
-        return stored(both.select("d", "h", "d0", "h0", "shifts", "a", "b").mapInArrow(_extended, "d long, h long, start long, end long, d0 long, h0 long, start0 long"))
-
-
-def _merged(spans):
-    """A column of [start, end) structs, sorted and joined where they meet."""
-    return F.aggregate(
-        F.array_sort(spans),
-        F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
-        lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(done, F.array(x))),
-    )
+        suffixes = stored(texts.select("d", "h", "text", "ats").mapInArrow(_passages, "key long, d long, h long, at long"))
+    forget(prints, wanted)
+    here = F.struct("d", "h", "at")
+    first = suffixes.groupBy("key").agg(F.count("*").alias("n"), F.min(here).alias("p")).where("n > 1").drop("n")
+    found = suffixes.join(first, "key").where(here > F.col("p"))
+    found = stored(found.select("d", "h", "at", F.col("p.d").alias("d0"), F.col("p.h").alias("h0"), F.col("p.at").alias("at0")))
+    forget(suffixes)
+    return found
+
+
+def _spans(batches):
+    """Rows (d, other, all, late) with starts of passages become (d, spans, later, other): spans joined where they meet."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for batch in batches:
+        columns = []
+        for c in ("all", "late"):
+            out = []
+            for starts in batch.column(c):
+                x = np.sort(starts.values.to_numpy(zero_copy_only=False))
+                new = np.flatnonzero(np.diff(x) > LEAST) + 1
+                lows, highs = x[np.concatenate(([0], new))] if len(x) else x, x[np.concatenate((new - 1, [-1]))] + LEAST if len(x) else x
+                out.append([{"start": a, "end": b} for a, b in zip(lows.tolist(), highs.tolist(), strict=True)])
+            columns.append(pa.array(out, kind))
+        yield pa.RecordBatch.from_arrays([batch.column("d"), *columns, batch.column("other")], names=["d", "spans", "later", "other"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -186,11 +125,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     are told apart by text. Columns other than doc_id and text are ignored.
     """
     found = matches(docs)
-    sides = found.select("d", "h", "start", "end", F.lit(True).alias("late"), F.col("d0").alias("other"))
-    sides = sides.union(found.select("d0", "h0", "start0", F.col("start0") + F.col("end") - F.col("start"), F.lit(False), F.col("d")))
-    spans = sides.groupBy("d", "h", "start", "end").agg(F.max("late").alias("late"), F.min("other").alias("other"))  # few for a document, however many partners
-    span = F.struct("start", "end")
-    out = spans.groupBy("d", "h").agg(F.collect_list(span).alias("all"), F.collect_list(F.when(F.col("late"), span)).alias("late"), F.min("other").alias("other"))
-    out = out.select("d", _merged(F.col("all")).alias("spans"), _merged(F.col("late")).alias("later"), "other")
+    sides = found.select("d", "h", "at", F.lit(True).alias("late"), F.col("d0").alias("other"))
+    sides = sides.union(found.select("d0", "h0", "at0", F.lit(False), F.col("d")))
+    starts = sides.groupBy("d", "h", "at").agg(F.max("late").alias("late"), F.min("other").alias("other"))
+    out = starts.groupBy("d", "h").agg(F.collect_list("at").alias("all"), F.collect_list(F.when(F.col("late"), F.col("at"))).alias("late"), F.min("other").alias("other"))
+    spans = "array<struct<start:bigint,end:bigint>>"
+    out = out.select("d", "other", "all", "late").mapInArrow(_spans, f"d long, spans {spans}, later {spans}, other long")
     real = lambda c: F.when(F.col(c) != 2**63 - 1, F.col(c))
     return out.select(real("d").alias("doc_id"), F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("n_repeated"), "spans", "later", real("other").alias("partner"))

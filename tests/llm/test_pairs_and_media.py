@@ -117,6 +117,22 @@ def test_repeated_passages(spark):
     assert passages.repeated_passages(frame(spark, [])).count() == 0
 
 
+def test_passages_around_a_frequent_sentence(spark):
+    r = np.random.default_rng(4)
+    word = lambda n: [f"v{x}" for x in r.integers(0, 10**6, n)]
+    sentence, rows = word(40), []
+    for _ in range(60):  # pairs that share ten words on either side of it, or the more on one side
+        a = int(r.integers(0, 21))
+        before, after = word(a), word(20 - a)
+        rows += [word(30) + before + sentence + after + word(30) for _ in range(2)]
+    rows += [word(40) + sentence + word(40) for _ in range(100)]
+    rows += [word(40) + rows[0][20:50] + word(40) for _ in range(9)]  # parts that are too short
+    rows = [(int(k), " ".join(x)) for k, x in zip(r.permutation(len(rows)), rows, strict=True)]
+    found = passages.repeated_passages(frame(spark, rows)).collect()
+    assert {x.doc_id: {k for s in x.spans for k in range(s.start, s.end)} for x in found} == brute_spans(rows)
+    assert sum(not x.later for x in found) == 60 and all((x.later == x.spans) == (x.partner < x.doc_id) for x in found)
+
+
 def test_minimisers():
     r = np.random.default_rng(0)
     for n, w in ((40, 31), (31, 31), (200, 5), (4, 5)):
