@@ -26,8 +26,17 @@ def winnowed(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(n - 1 - (np.arange(len(views)) + views.argmin(1)))
 
 
+def run_keys(x: np.ndarray, starts: np.ndarray, lines: int) -> np.ndarray:
+    """64-bit hashes of the runs of so many lines of x at starts."""
+    key = np.full(len(starts), lines, np.int64)
+    for k in range(lines):
+        key = key * np.int64(-7046029254386353131) + (x[starts + k] ^ np.int64(0x2545F4914F6CDD1D)) * np.int64(0x5851F42D4C957F2D)
+        key = key ^ (key >> np.int64(29))
+    return key
+
+
 def _fingerprints(window: int):
-    """For mapInArrow: rows (d, h, hashes) become (key, d, h, at): pairs of lines of which one is a fingerprint."""
+    """For mapInArrow: rows (d, h, hashes) become (key, d, h, at): runs of `window` lines that hold a fingerprint."""
 
     def work(batches):
         for batch in batches:
@@ -35,10 +44,11 @@ def _fingerprints(window: int):
             for hashes in batch.column("hashes"):
                 x = hashes.values.to_numpy(zero_copy_only=False).astype(np.int64)
                 at = winnowed(x, window)
-                pairs = np.unique(np.concatenate((at[at + 1 < len(x)], at[at > 0] - 1)))
-                keys.append(x[pairs] * np.int64(-7046029254386353131) + (x[pairs + 1] ^ np.int64(0x2545F4914F6CDD1D)) * np.int64(0x5851F42D4C957F2D))
-                places.append(pairs)
-                counts.append(len(pairs))
+                starts = np.unique(at[:, None] - np.arange(window))
+                starts = starts[(starts >= 0) & (starts <= len(x) - window)]
+                keys.append(run_keys(x, starts, window))
+                places.append(starts)
+                counts.append(len(starts))
             cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
             owner = pa.array(np.repeat(np.arange(batch.num_rows), counts))
             yield pa.RecordBatch.from_arrays([cat(keys), batch.column("d").take(owner), batch.column("h").take(owner), cat(places)], names=["key", "d", "h", "at"])
@@ -77,11 +87,11 @@ def _extend(least: int):
 def repeated_runs(rows: DataFrame, window: int = 3) -> DataFrame:
     """(d, h, start, end): the runs of lines of rows(d, h, hashes) that an earlier place has too; (d, h) is unique.
 
-    Every repeated run of `window` lines or more holds a winnowed fingerprint, at the same place in each copy. A
-    fingerprint is joined with its neighbour lines: each of these pairs of lines points to the first place that has
-    it, by (d, h, line). Matches are followed along the shift between both places in either direction, and runs of
+    Every repeated run of `window` lines or more holds a winnowed fingerprint, at the same place in each copy. All runs
+    of `window` lines that hold it point to the first place that has the whole run, by (d, h, line), so frequent lines
+    in other company lead nowhere else. Matches are followed along the shift between both places, and runs of
     `window` lines or more are returned. First places come from a minimum that is pre-aggregated in each task, and
-    every other place joins this one only: a pair of lines that a third of all documents share makes a row for each
+    every other place joins this one only: a run that a third of all documents share makes a row for each
     document, never pairs of them. Places within one document count too.
     """
     prints = stored(rows.mapInArrow(_fingerprints(window), "key long, d long, h long, at long"))

@@ -163,6 +163,26 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_with_frequent_lines(spark):
+    r = np.random.default_rng(9)
+    line = lambda: f"hot {r.integers(40)}" if r.random() < 0.5 else f"own {r.integers(10**9)}"
+    docs = [[line() for _ in range(int(r.integers(4, 12)))] for _ in range(600)]
+    for _ in range(60):  # planted runs
+        run = [line() for _ in range(int(r.integers(3, 6)))]
+        for k in r.integers(0, len(docs), 3):
+            docs[k] = docs[k][:2] + run + docs[k][2:]
+    seen, want = set(), {}
+    for d, x in enumerate(docs):
+        gone = set()
+        for k in range(len(x) - 2):
+            if tuple(x[k : k + 3]) in seen:
+                gone |= {k, k + 1, k + 2}
+            seen.add(tuple(x[k : k + 3]))
+        want[d] = "\n".join(y for k, y in enumerate(x) if k not in gone)
+    got = line_dedup.dedup_lines(frame(spark, [(d, "\n".join(x)) for d, x in enumerate(docs)])).collect()
+    assert {x.doc_id: x.text for x in got} == want
+
+
 def test_winnowing_guarantee():
     r = np.random.default_rng(1)
     for _ in range(50):
