@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import stored
 
 LINE = "\n"
+WORDS = 50  #: a run of so many words goes even if it has fewer lines than the window
+WHOLE = 99  #: salt of the keys of whole documents with fewer lines than the window
 
 
 def line_hashes(text: Column) -> Column:
@@ -17,6 +19,11 @@ def line_hashes(text: Column) -> Column:
     return F.transform(F.split(text, LINE), lambda x: F.xxhash64(F.trim(x)))
 
 
+def line_words(text: Column) -> Column:
+    """Words ([^\\x20\\x09-\\x0D]+) of the lines of a text."""
+    return F.transform(F.split(text, LINE), lambda x: F.regexp_count(x, F.lit("[^\\x20\\x09-\\x0D]+")))
+
+
 def winnowed(hashes: np.ndarray, window: int) -> np.ndarray:
     """Positions of the minima of all windows of `window` hashes (the rightmost of equal ones); none of a shorter array."""
     n = len(hashes)
@@ -36,19 +43,31 @@ def run_keys(x: np.ndarray, starts: np.ndarray, lines: int) -> np.ndarray:
 
 
 def _fingerprints(window: int):
-    """For mapInArrow: rows (d, h, hashes) become (key, d, h, at): runs of `window` lines that hold a fingerprint."""
+    """For mapInArrow: rows (d, h, hashes, n_words) become (key, d, h, at): runs of lines whose first place is looked for.
+
+    These are the runs of `window` lines that hold a fingerprint, all shorter runs of WORDS words or more, and the whole
+    of a document with fewer lines than the window.
+    """
 
     def work(batches):
         for batch in batches:
             keys, places, counts = [], [], []
-            for hashes in batch.column("hashes"):
+            for hashes, n_words in zip(batch.column("hashes"), batch.column("n_words"), strict=True):
                 x = hashes.values.to_numpy(zero_copy_only=False).astype(np.int64)
                 at = winnowed(x, window)
                 starts = np.unique(at[:, None] - np.arange(window))
                 starts = starts[(starts >= 0) & (starts <= len(x) - window)]
-                keys.append(run_keys(x, starts, window))
-                places.append(starts)
-                counts.append(len(starts))
+                runs = [(starts, run_keys(x, starts, window))]
+                so_far = np.concatenate(([0], np.cumsum(n_words.values.to_numpy(zero_copy_only=False).astype(np.int64))))
+                for lines in range(1, min(window - 1, len(x)) + 1):
+                    starts = np.flatnonzero(so_far[lines:] - so_far[:-lines] >= WORDS)
+                    runs.append((starts, run_keys(x, starts, lines)))
+                if len(x) < window:
+                    starts = np.zeros(1, np.int64)
+                    runs.append((starts, run_keys(x, starts, len(x)) ^ np.int64(WHOLE)))
+                keys += [k for _, k in runs]
+                places += [p for p, _ in runs]
+                counts.append(sum(len(p) for p, _ in runs))
             cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
             owner = pa.array(np.repeat(np.arange(batch.num_rows), counts))
             yield pa.RecordBatch.from_arrays([cat(keys), batch.column("d").take(owner), batch.column("h").take(owner), cat(places)], names=["key", "d", "h", "at"])
@@ -56,41 +75,45 @@ def _fingerprints(window: int):
     return work
 
 
-def extended(a: np.ndarray, b: np.ndarray, shift: int, least: int) -> list[tuple[int, int]]:
-    """Runs [start, end) of at least `least` lines of a that equal those `shift` lines before them in b."""
+def extended(a: np.ndarray, b: np.ndarray, shift: int, least: int, n_words: np.ndarray) -> list[tuple[int, int]]:
+    """Runs [start, end) of lines of a that equal those `shift` lines before them in b.
+
+    They have at least `least` lines, or WORDS words by the n_words of a's lines, or are all of a and b.
+    """
     first, last = max(0, shift), min(len(a), len(b) + shift)
-    if last - first < least:
+    if last <= first:
         return []
     same = np.concatenate(([False], a[first:last] == b[first - shift : last - shift], [False]))
     edges = np.flatnonzero(same[1:] != same[:-1])
     starts, ends = edges[::2], edges[1::2]
-    keep = ends - starts >= least
+    so_far = np.concatenate(([0], np.cumsum(n_words)))
+    keep = (ends - starts >= least) | (so_far[ends + first] - so_far[starts + first] >= WORDS) | ((ends - starts == len(a)) & (len(a) == len(b)))
     return list(zip((starts[keep] + first).tolist(), (ends[keep] + first).tolist(), strict=True))
 
 
 def _extend(least: int):
-    """For mapInArrow: rows (d, h, shifts, a, b) become (d, h, start, end)."""
+    """For mapInArrow: rows (d, h, shifts, a, b, n_words) become (d, h, start, end)."""
 
     def work(batches):
         for batch in batches:
             out = []
             as_array = lambda x: x.values.to_numpy(zero_copy_only=False)
-            for d, h, shifts, a, b in zip(batch.column("d").to_pylist(), batch.column("h").to_pylist(), batch.column("shifts").to_pylist(), batch.column("a"), batch.column("b"), strict=True):
-                a, b = as_array(a), as_array(b)
+            for d, h, shifts, a, b, n_words in zip(batch.column("d").to_pylist(), batch.column("h").to_pylist(), batch.column("shifts").to_pylist(), batch.column("a"), batch.column("b"), batch.column("n_words"), strict=True):
+                a, b, n_words = as_array(a), as_array(b), as_array(n_words)
                 for shift in shifts:
-                    out += [(d, h, start, end) for start, end in extended(a, b, shift, least)]
+                    out += [(d, h, start, end) for start, end in extended(a, b, shift, least, n_words)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names=["d", "h", "start", "end"])
 
     return work
 
 
 def repeated_runs(rows: DataFrame, window: int = 3) -> DataFrame:
-    """(d, h, start, end): the runs of lines of rows(d, h, hashes) that an earlier place has too; (d, h) is unique.
+    """(d, h, start, end): the runs of lines of rows(d, h, hashes, n_words) that an earlier place has too; (d, h) is unique.
 
     Every repeated run of `window` lines or more holds a winnowed fingerprint, at the same place in each copy. All runs
     of `window` lines that hold it point to the first place that has the whole run, by (d, h, line), so frequent lines
     in other company lead nowhere else. Matches are followed along the shift between both places, and runs of
-    `window` lines or more are returned. First places come from a minimum that is pre-aggregated in each task, and
+    `window` lines or more are returned, as are shorter ones of WORDS words or more and whole short documents. First places come from a minimum that is pre-aggregated in each task, and
     every other place joins this one only: a run that a third of all documents share makes a row for each
     document, never pairs of them. Places within one document count too.
     """
@@ -100,20 +123,21 @@ def repeated_runs(rows: DataFrame, window: int = 3) -> DataFrame:
     matched = prints.join(first, "key").where(here > F.col("p")).groupBy("d", "h", F.col("p.d").alias("d0"), F.col("p.h").alias("h0")).agg(F.collect_set((F.col("at") - F.col("p.at")).cast("int")).alias("shifts"))
     later = rows.withColumnRenamed("hashes", "a").join(stored(matched), ["d", "h"])
     both = later.join(rows.select(F.col("d").alias("d0"), F.col("h").alias("h0"), F.col("hashes").alias("b")), ["d0", "h0"])
-    return both.select("d", "h", "shifts", "a", "b").mapInArrow(_extend(window), "d long, h long, start long, end long")
+    return both.select("d", "h", "shifts", "a", "b", "n_words").mapInArrow(_extend(window), "d long, h long, start long, end long")
 
 
 def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
     """docs(doc_id, text, ...) with the repeated runs of lines deleted from text, and n_lines and n_removed added.
 
-    A run of `window` or more lines (compared without spaces at their ends) goes from every place but the first, in
-    the order of doc_id (null last), then of a hash of the text. Texts that lose nothing are unchanged to the byte; a
+    A run of `window` or more lines (compared without spaces at their ends), or of WORDS words or more in fewer lines,
+    goes from every place but the first, and so does a document of fewer lines that equals an earlier one, unless it has
+    no words. Places are in the order of doc_id (null last), then of a hash of the text. Texts that lose nothing are unchanged to the byte; a
     text that loses all lines is ''. null texts stay null and empty ones empty. Equal rows are one document and have
     the same result. Other columns are kept; ones named n_lines or n_removed are replaced.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(*kept, F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_d"), F.xxhash64("text").alias("_h"))
-    rows = stored(keyed.select(F.col("_d").alias("d"), F.col("_h").alias("h"), line_hashes(F.col("text")).alias("hashes")).where(F.size("hashes") >= window).dropDuplicates(["d", "h"]))
+    rows = stored(keyed.select(F.col("_d").alias("d"), F.col("_h").alias("h"), line_hashes(F.col("text")).alias("hashes"), line_words(F.col("text")).alias("n_words")).where((F.size("hashes") >= window) | F.exists("n_words", lambda n: n > 0)).dropDuplicates(["d", "h"]))
     runs = repeated_runs(rows, window).distinct().groupBy(F.col("d").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("start", "end")).alias("_runs"))
     lines = F.split("text", LINE)
     left = F.filter(lines, lambda x, i: ~F.exists("_runs", lambda r: (i >= r["start"]) & (i < r["end"])))

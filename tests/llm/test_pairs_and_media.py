@@ -183,6 +183,19 @@ def test_line_dedup_with_frequent_lines(spark):
     assert {x.doc_id: x.text for x in got} == want
 
 
+def test_line_dedup_of_short_runs(spark):
+    long, half, other = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("l", 50), ("h", 25), ("o", 25)))
+    rows = [
+        (1, f"start\n{long}\nend"), (2, f"{long}\nrest"),  # one line of 50 words
+        (3, f"{half}\n{other}\nx\ny"), (4, f"z\n{half}\n{other}"), (5, f"{half}\nq"), (6, f"{other}\n{half}"),  # two lines
+        (7, "two\nlines"), (8, "two \nlines"), (9, "two\nlines\nthree"), (10, "two"), (11, long),  # whole documents
+        (12, ""), (13, " "), (14, "\n"), (15, None), (16, "\n\n\n"), (None, "\n\n\n"),
+    ]
+    got = {x.doc_id: (x.text, x.n_removed) for x in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    gone = {2: ("rest", 1), 4: ("z", 2), 8: ("", 2), 11: ("", 1), 16: ("", 3), None: ("", 4)}
+    assert got == {d: gone.get(d, (t, 0)) for d, t in rows}
+
+
 def test_winnowing_guarantee():
     r = np.random.default_rng(1)
     for _ in range(50):
