@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -18,23 +19,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or what setCheckpointDir() has set.
+
+    Where neither is set, a temporary folder serves a session of one process (master local[...]); on a cluster it is a
+    RuntimeError.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        path = tempfile.mkdtemp(prefix="lexmill-")
-        spark.sparkContext.setCheckpointDir(path)
+    if path:
+        return path
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("steps are written to spark.checkpoint.dir, which isn't set")
+    path = tempfile.mkdtemp(prefix="lexmill-")
+    spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value):
+    """Within it, a setting of the session has another value."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df written as Parquet to the shared folder and read back: lineage ends here and survives lost executors."""
+    """df written as Parquet to the shared folder and read back: lineage ends here and survives lost executors.
+
+    The shuffle files of the write are deleted with its end, so that only stored steps take disk space.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lexmill-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    spark._jvm.System.gc()  # else shuffle files of finished steps stay on the executors' disks until the driver needs memory
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -49,20 +71,13 @@ def forget(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-@contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Within it, Arrow batches to Python have so many rows at most: for rows that hold whole arrays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has no more than so many rows, else as it is (a shuffle join)."""
+def within(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if it is counted to have no more than so many rows, else as it is (a shuffle join)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

@@ -1,27 +1,36 @@
 """N-gram Jaccard join: an exact metric-space join on distance 1 - Jaccard, by pivots, windows and recursion.
 
-How the exact join stays near-linear. Two linked sets share at least three quarters of either, so under any global
-order of shingles their first common one is among the first floor(n / 4) + 1 of each. Shingles of such prefixes bound
-the regions: a region is the sets that hold a shingle in their prefix, its pivot the least of them. Each set is
-compared with the pivots of its regions; the triangle inequality then leaves in a region only sets that no pivot of it
-linked, and those within a window of one (a set at distance u from a pivot can't link one beyond u + R). What is left
-joins recursively, with eight times as many pivots a round, until no region has an open set. Sets that different pivots
-linked are compared last, where they are in different components yet: again by pivots and windows (`bridged`).
+How the exact join stays near-linear.
+
+* Regions. A set x of n shingles lacks at most floor(n / 4) of a set it links with, so under any order of shingles the
+  first floor(n / 4) + l of either hold l common ones. Each set emits floor(n / 4) + floor(n / 10) + 1 shingles by hash and
+  takes back the most frequent ceil(3 n / 4) // 10 of them: of the common ones the rarest stays in both. A region is the
+  sets that keep a shingle. Most sets have so many shingles of their own that they keep nothing else and are done.
+* Pivots. Each region is seen from its most central set, the one whose shingles most other sets have; sets that link
+  with it are one component. Regions of over FEW sets with several components left get further pivots, from outside of
+  their largest component, as long as these link something.
+* Recursion. Regions in which two components meet are split anew, now by all shingles of their sets, those first that the
+  fewest components have: a shingle of one component can't be shared with another, so that of a large group only what
+  its sets don't have in common is looked at. Two sets of different components are compared if a common shingle stands
+  early enough in both for their sizes, and if they pass the triangle window: seen from a pivot of both, their
+  distances differ by R at most.
+
+So sets of one component are never paired. Only a cloud of sets that share nearly all of their shingles, keep a common
+distance just beyond R and have no centre is compared pair by pair.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lexmill.llm.common import blocks_of, forget, grams, sequence_hash, stored, utf8, words
+from lexmill.llm.common import blocks_of, forget, grams, sequence_hash, stored, utf8, within, words
 
 N = 5  #: words of a shingle
-ZONE = int(0.36 * 2**64) - 2**63  #: shingles whose signed hash is below form the first part of the global order
-HOT = 64  #: a shingle in more documents comes last in the order
+FEW = 64  #: sets of a region that needs no second pivot
+SMALL = 200_000  #: rows of ids that are broadcast, if counted
 
 
 def _shingles(w: np.ndarray) -> np.ndarray:
@@ -31,26 +40,42 @@ def _shingles(w: np.ndarray) -> np.ndarray:
     return np.unique(grams(w, min(N, len(w))).view(np.int64))
 
 
-def _sets(zone: int | None):
-    """For mapInArrow: (d, h, text) rows become (d, c, n, s): content hash, set size, and the shingles below zone.
+def _emitted(n: int) -> int:
+    return n // 4 + n // 10 + 1
 
-    n and s are the whole set where zone is None; otherwise all of a set too small to be settled within the zone.
+
+def _dropped(n: Column) -> Column:
+    """How many of the emitted shingles a set leaves out: fewer than any two sets that link have in common of them."""
+    return F.floor(F.ceil(n * 3 / 4) / 10).cast("int")
+
+
+def _sets(whole: bool):
+    """For mapInArrow: (d, text) rows become (d, c, n, s): content hash, set size, and the set or what it emits.
+
+    Unless the set is wanted whole, s is null where the task had the same content shortly before.
     """
 
     def work(batches):
+        seen: set[int] = set()
         for batch in batches:
             for part in blocks_of(batch, "text"):
                 w, _, _, rows = words(*utf8(part.column("text")))
                 c, n, sets = [], [], []
                 for k in range(part.num_rows):
                     own = w[rows[k] : rows[k + 1]]
+                    key = sequence_hash(own)
                     s = _shingles(own)
-                    c.append(sequence_hash(own))
+                    c.append(key)
                     n.append(len(s))
-                    sets.append(s if zone is None else s[: np.searchsorted(s, zone)])
-                at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("d"), pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(flat, pa.int64())).cast(pa.list_(pa.int64()))], names=["d", "c", "n", "s"])
+                    again = not whole and key in seen
+                    sets.append(None if again else s if whole else s[: _emitted(len(s))])
+                    if len(seen) >= 1 << 17:
+                        seen.clear()
+                    seen.add(key)
+                at = np.concatenate(([0], np.cumsum([0 if s is None else len(s) for s in sets])))
+                flat = np.concatenate([s for s in sets if s is not None] or [np.zeros(0, np.int64)])
+                lists = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(flat, pa.int64()), mask=pa.array([s is None for s in sets])).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("d"), pa.array(c, pa.int64()), pa.array(n, pa.int64()), lists], names=["d", "c", "n", "s"])
 
     return work
 
@@ -58,194 +83,159 @@ def _sets(zone: int | None):
 SET = "d long, c long, n long, s array<long>"
 
 
-def _slack(n):
-    """How many of its shingles a set of n can lack in one that it links with."""
-    return F.floor(n / 4)
-
-
-def _counted(rows: DataFrame) -> DataFrame:
-    """Of rows (s, x): (s, p, hot, m), shingles of two classes or more, their least class and documents; pre-aggregated."""
-    return rows.groupBy("s").agg(F.min("x").alias("p"), F.max("x").alias("q"), F.count("*").alias("m")).where("p < q").select("s", "p", (F.col("m") > HOT).alias("hot"), "m")
-
-
 class JaccardJoin:
     """Components of docs(doc_id, text) under links of Jaccard similarity 0.75 or more on sets of N-word shingles."""
 
     def __init__(self, docs: DataFrame):
         self.spark = docs.sparkSession
         self.keyed = docs.select(F.col("doc_id").cast("long").alias("d"), "text")
-        self.passed: list[DataFrame] = []
-        #: (d, c, n, s) of every row of docs: s are the shingles of the zone. Only needed for the regions.
-        self.zoned = self.passing(self.keyed.mapInArrow(_sets(ZONE), SET))
-        self.rows = stored(self.zoned.select("d", "c", "n"))
-        #: (x, n, rep): a class for each distinct sequence of words, with the doc_id of one document that has it.
-        self.classes = stored(self.rows.where("n > 0").groupBy(F.col("c").alias("x")).agg(F.first("n").alias("n"), F.min("d").alias("rep")))
-
-    def passing(self, df: DataFrame) -> DataFrame:
-        """df stored until the regions are."""
-        self.passed.append(stored(df))
-        return self.passed[-1]
+        read = stored(self.keyed.mapInArrow(_sets(False), SET))
+        #: (d, c, n): one for each row of docs.
+        self.rows = stored(read.select("d", "c", "n"))
+        first = read.where("n > 0").groupBy(F.col("c").alias("x")).agg(F.first("n").alias("n"), F.min("d").alias("rep"), F.first("s", True).alias("s"))
+        #: (x, n, rep, s): a class for each distinct sequence of words, the doc_id of one document with it, what it emits.
+        self.classes = stored(first)
+        forget(read)
 
     def sets_of(self, wanted: DataFrame) -> DataFrame:
-        """(x, n, s): the whole sets of the classes in wanted(x)."""
-        docs = self.classes.join(wanted, "x", "left_semi").select(F.col("rep").alias("d"))
-        text = self.keyed.join(docs.distinct(), self.keyed.d.eqNullSafe(docs.d), "left_semi")
-        # A doc_id may have several texts, and a null one too: classes that weren't asked for do no harm.
-        return stored(text.mapInArrow(_sets(None), SET).select(F.col("c").alias("x"), "n", "s").where("n > 0").dropDuplicates(["x"]))
+        """(x, n, s): the whole sets of the classes wanted(x)."""
+        wanted = within(wanted, SMALL)
+        docs = self.classes.join(wanted, "x", "left_semi").select(F.col("rep").alias("d")).distinct()
+        docs = within(docs, SMALL)
+        text = self.keyed.join(docs, self.keyed.d.eqNullSafe(docs.d), "left_semi")
+        # A doc_id may have several texts, and a null one too: other classes that come along go.
+        sets = text.mapInArrow(_sets(True), SET).select(F.col("c").alias("x"), "n", "s").where("n > 0")
+        return stored(sets.join(wanted, "x", "left_semi").dropDuplicates(["x"]))
 
     def regions(self) -> DataFrame:
-        """(g, x, p): the regions of each class and their pivots; regions of one class are left out.
+        """(g, x, n, score) of the shingles that each class keeps, regions of one class left out.
 
-        The global order: shingles of the zone that aren't hot, then those beyond it that aren't, then hot ones from
-        rare to frequent. A class whose prefix lies in the first part emits that part, others what they need of the
-        next ones. Classes of the first kind share at least k = cold - floor(n / 4) shingles with any they link with,
-        so each may leave out regions with up to (k - 1) / 2 of them: those of pivots it shares least with, which are
-        chance.
+        score is the mean number of classes that have a shingle which the class emits.
         """
-        first = self.zoned.select(F.col("c").alias("x"), F.explode("s").alias("s"))
-        counted = self.passing(_counted(first))
-        met = self.passing(first.join(counted, "s").select("s", "x", "p", "hot", "m").distinct())
-        zone = self.zoned.where("n > 0").groupBy(F.col("c").alias("x")).agg(F.first("n").alias("n"), F.first(F.size("s")).alias("z"))
-        hot = met.where("hot").groupBy("x").agg(F.count("*").alias("hot"))
-        room = self.passing(zone.join(hot, "x", "left").select("x", "n", (F.col("z") - F.coalesce("hot", F.lit(0)) - _slack(F.col("n"))).alias("k")))
-        cold = met.where("not hot")
-        shared = cold.where("x != p").groupBy("x", "p").agg(F.count("*").alias("c"))
-        order = Window.partitionBy("x").orderBy("c", "p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        kept = shared.join(room.select("x", "k"), "x").withColumn("so_far", F.sum("c").over(order)).where("so_far > (k - 1) / 2").select("x", "p")
-        out = cold.join(kept, ["x", "p"], "left_semi").select(F.col("s").alias("g"), "x", "p")
-        short = room.where("k <= 0").select("x", "n", "k")
-        if not short.isEmpty():
-            out = out.union(self._beyond(short, met))
+        emitted = self.classes.select("x", "n", F.size("s").alias("e"), F.explode("s").alias("g"))
+        counted = stored(emitted.groupBy("g").agg(F.count("*").alias("m")).where("m > 1"))
+        met = emitted.join(counted, "g").groupBy("x").agg(F.first("n").alias("n"), F.first("e").alias("e"), F.sort_array(F.collect_list(F.struct("m", "g")), False).alias("met"))
+        kept = met.where(F.size("met") > _dropped(F.col("n"))).withColumn("score", F.aggregate("met", F.lit(0).cast("long"), lambda a, t: a + t["m"]) / F.col("e"))
+        kept = stored(kept.select("x", "n", "score", F.explode(F.slice("met", _dropped(F.col("n")) + 1, F.size("met"))).alias("k")).select(F.col("k.g").alias("g"), "x", "n", "score"))
+        forget(counted)
+        return kept
+
+    def compared(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """pairs(x, p) of classes with their distance u and whether they link, stored."""
+        both = pairs.join(sets, "x").join(sets.select(F.col("x").alias("p"), F.col("n").alias("m"), F.col("s").alias("t")), "p")
+        both = both.select("x", "p", "n", "m", F.size(F.array_intersect("s", "t")).cast("long").alias("shared"))
+        union = F.col("n") + F.col("m") - F.col("shared")
+        return stored(both.select("x", "p", (1 - F.col("shared") / union).alias("u"), (4 * F.col("shared") >= 3 * union).alias("linked")))
+
+    def labels(self, most_rounds: int = 16) -> DataFrame:
+        """(x, root) of every class that links with another: the least class of its component."""
+        regions = self.regions()
+        pivot = regions.groupBy("g").agg(F.max(F.struct("score", "x", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
+        pivots = stored(pivot.select("g", F.col("p.x").alias("p"), F.col("p.n").alias("m"), "size"))
+        members = stored(regions.join(pivots.select("g", "size"), "g").select("g", "x", "n", "score", "size"))
+        forget(regions)
+        sets = self.sets_of(members.select("x").distinct())
+        sizes_fit = F.expr("4 * least(n, m) >= 3 * greatest(n, m)")
+        near = self.compared(members.join(pivots.select("g", "p", "m"), "g").where("x != p").where(sizes_fit).select("x", "p").distinct(), sets)
+        label = self.joined(self.spark.createDataFrame([], "x long, root long"), near)
+        used, seen, tables = pivots.select("g", F.col("p").alias("x")), near, [pivots]
+        for _ in range(most_rounds):
+            mixed = self.mixed(members.where(F.col("size") > FEW), label)
+            outside = mixed.where("root != big").join(used, ["g", "x"], "left_anti")
+            pivots = stored(outside.groupBy("g").agg(F.max(F.struct("score", "x", "n", "root")).alias("p")).select("g", F.col("p.x").alias("p"), F.col("p.n").alias("m"), F.col("p.root").alias("r")))
+            pairs = mixed.join(pivots, "g").where("root != r").where(sizes_fit).select("x", "p").distinct()
+            more = self.compared(pairs.join(seen.select("x", "p"), ["x", "p"], "left_anti"), sets)
+            tables += [more, pivots]
+            seen, used = seen.union(more), used.union(pivots.select("g", F.col("p").alias("x")))
+            if more.where("linked").isEmpty():
+                break
+            label = self.joined(label, more)
+        # The distance to the nearest pivot, for the window.
+        home = seen.groupBy("x").agg(F.min(F.struct("u", "p")).alias("home"))
+        pivots_home = seen.select(F.col("p").alias("x"), F.struct(F.lit(0.0).alias("u"), "p").alias("home")).distinct()
+        home = stored(home.join(pivots_home.select("x"), "x", "left_anti").union(pivots_home))
+        left = stored(self.mixed(members, label).select("x").distinct())
+        forget(members, *tables)
+        found = self.compared(self.split(left, sets, label, home), sets)
+        out = self.joined(label, found)
+        forget(found, near, home, left, sets)
         return out
 
-    def _beyond(self, short: DataFrame, met: DataFrame) -> DataFrame:
-        """Regions beyond the zone, of the classes short(x, n, k) whose prefixes don't end within it."""
-        sets = self.sets_of(short.select("x"))
-        self.passed.append(sets)
-        sets = sets.join(short.select("x", "k"), "x")
-        rest = sets.select("x", F.explode(F.filter("s", lambda s: s >= ZONE)).alias("s"))
-        counted = self.passing(_counted(rest))
-        far = self.passing(rest.join(counted, "s").select("s", "x", "p", "hot", "m"))
-        hot = far.where("hot").groupBy("x").agg(F.count("*").alias("hot"))
-        left = sets.select("x", "k", F.size(F.filter("s", lambda s: s >= ZONE)).alias("z")).join(hot, "x", "left")
-        left = self.passing(left.select("x", (F.col("k") + F.col("z") - F.coalesce("hot", F.lit(0))).alias("k")).where("k <= 0"))
-        out = far.where("not hot").select(F.col("s").alias("g"), "x", "p")
-        # Hot shingles, from rare to frequent, of classes with too few others: 1 - k of them.
-        all_hot = met.where("hot").select("s", "x", "p", "m").union(far.where("hot").select("s", "x", "p", "m")).join(left, "x")
-        rank = F.row_number().over(Window.partitionBy("x").orderBy("m", "s"))
-        return out.union(all_hot.withColumn("rank", rank).where("rank <= 1 - k").select(F.col("s").alias("g"), "x", "p")).where("x != p")
-
-    def links(self, most_rounds: int = 64) -> DataFrame:
-        """(x, p): links between classes; those between sets that different pivots linked are left to `bridged`."""
-        regions = stored(self.regions())
-        forget(*self.passed)
-        whole = regions.select("x").union(regions.select("p")).distinct()
-        sets = self.sets_of(whole)
-        self.regional, self.sets = regions, sets
-        found = None
-        members = regions.select("g", "x", F.lit(True).alias("open"))
-        pivots = regions.select("g", "p").distinct()
-        for turn in range(most_rounds):
-            compared = members.select("g", "x").join(pivots, "g").where("x != p")
-            near = stored(self._near(compared.select("x", "p").distinct(), sets))
-            link = near.where("linked").select("x", "p")
-            found = link if found is None else found.union(link)
-            # Within each region: is a set linked by a pivot, and how far is it from its nearest one?
-            seen = compared.join(near, ["x", "p"], "left").select("g", "x", "p", F.coalesce("u", F.lit(1.0)).alias("u"), F.coalesce("linked", F.lit(False)).alias("linked"))
-            home = seen.groupBy("g", "x").agg(F.min(F.struct("u", "p")).alias("home"), F.max("linked").alias("linked"))
-            left = members.join(home, ["g", "x"]).join(pivots.select("g", F.col("p").alias("x")), ["g", "x"], "left_anti")
-            left = stored(left.select("g", "x", (F.col("open") & ~F.col("linked")).alias("open"), "home"))
-            still = left.where("open").select("g", "x")
-            # The window: a settled set stays only if an open one may be within R of it, seen from its pivot. Beyond
-            # a third, sizes that are too different to be compared don't tell.
-            unsettled = still.join(seen, ["g", "x"]).groupBy("g", "p").agg(F.min("u").alias("least"))
-            settled = left.where("not open").select("g", "x", F.col("home.u").alias("u"), F.col("home.p").alias("p")).join(unsettled, ["g", "p"]).where("least <= u + 0.25 + 1e-9 or u > 0.33")
-            members = stored(still.withColumn("open", F.lit(True)).union(settled.select("g", "x", F.lit(False).alias("open"))))
-            if members.isEmpty():
-                break
-            sets = stored(sets.join(members.select("x").distinct(), "x", "left_semi"))  # each round ships only what it may compare
-            # Eight times as many pivots as before: the least open set of each of so many hashed parts of a region. A
-            # region of one set has no pair with its pivot, so it ends there.
-            part = F.pmod(F.xxhash64("x", F.lit(turn)), F.lit(8 ** min(turn + 1, 7)))
-            pivots = members.where("open").groupBy("g", part.alias("part")).agg(F.min("x").alias("p")).select("g", "p")
-        else:
-            raise RuntimeError("regions are still open")
-        return stored(found.distinct())
-
-    def bridged(self, label: DataFrame, most_rounds: int = 64) -> DataFrame:
-        """label(x, root) with components made one where a link joins sets that different pivots settled.
-
-        Within a region a settled set has its pivot's root, so only roots with two members or more count, and only
-        where there are several. The least set of each of so many hashed parts of a root is compared with the whole
-        region and then leaves it. A set also leaves it if, seen from a pivot, no set of another root is within a
-        window of it. Roots that a link joins become one before the next round.
+    def mixed(self, members: DataFrame, label: DataFrame) -> DataFrame:
+        """members(g, x, ...) of the regions with several components, with their root and big, the root of most."""
+        rooted = members.join(label, "x", "left").withColumn("root", F.coalesce("root", "x"))
+        count = rooted.groupBy("g", "root").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "root")).alias("big"), F.count("*").alias("roots"))
+        return rooted.join(count.where("roots > 1").select("g", F.col("big.root").alias("big")), "g")
+
+    def split(self, left: DataFrame, sets: DataFrame, label: DataFrame, home: DataFrame) -> DataFrame:
+        """(x, p): the pairs of classes left(x) in different components that may link.
+
+        Shingles are in the order of the number of components that have them. With sizes n and m, two sets that link have
+        at least a = ceil(3 (n + m) / 7) shingles in common, so the first common one is among the first n - a + 1 and
+        m - a + 1.
         """
-        members = self.regional.select("g", "x").union(self.regional.select("g", F.col("p").alias("x"))).distinct().join(label, "x")
-        for turn in range(most_rounds):
-            roots = members.groupBy("g", "root").agg(F.count("*").alias("c")).where(F.col("c") > (0 if turn else 1))
-            mixed = roots.withColumn("k", F.count("*").over(Window.partitionBy("g"))).where("k > 1").select("g", "root")
-            members = stored(members.join(mixed, ["g", "root"], "left_semi").select("g", "x", "root"))
-            if members.isEmpty():
-                return label
-            # Regions of the same sets are one.
-            same = members.groupBy("g").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("x")).alias("a"), F.bit_xor(F.xxhash64("x", F.lit(1))).alias("b"))
-            members = stored(members.join(same.groupBy("c", "a", "b").agg(F.min("g").alias("g")).select("g"), "g", "left_semi"))
-            part = F.pmod(F.xxhash64("x", F.lit(turn)), F.lit(8 ** min(turn, 7)))
-            pivots = stored(members.groupBy("g", "root", part.alias("part")).agg(F.min("x").alias("p")).select("g", "p", F.col("root").alias("r")))
-            compared = members.join(pivots, "g").where("x != p")
-            near = stored(self._near(compared.select("x", "p").distinct(), self.sets))
-            seen = compared.join(near.select("x", "p", "u", "linked"), ["x", "p"], "left")
-            # A pair that wasn't compared is beyond one half.
-            low = seen.groupBy("g", "p", "root").agg(F.min(F.coalesce("u", F.lit(0.5))).alias("low"))
-            two = low.groupBy("g", "p").agg(F.slice(F.array_sort(F.collect_list(F.struct("low", "root"))), 1, 2).alias("two"))
-            other = F.expr("array_min(transform(filter(two, t -> t.root != root), t -> t.low))")
-            alone = seen.where("u is not null").join(two, ["g", "p"]).withColumn("other", other).where("other is null or other > u + 0.25 + 1e-9").select("g", "x")
-            gone = alone.union(pivots.select("g", F.col("p").alias("x"))).distinct()
-            links = stored(seen.where("linked and root != r").select(F.col("root").alias("x"), F.col("r").alias("p")).distinct())
-            members = members.join(gone, ["g", "x"], "left_anti")
-            if not links.isEmpty():
-                joined = _connected(links).select(F.col("x").alias("root"), F.col("root").alias("to"))
-                rename = lambda df: df.join(joined, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
-                label, members = stored(rename(label).select("x", "root")), rename(members)
-        raise RuntimeError("components are still to be compared")
-
-    def _near(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """_distances with the distance u and whether it links."""
-        return self._distances(pairs, sets).withColumn("linked", F.expr("4 * shared >= 3 * (n + m - shared)")).withColumn("u", 1 - F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")))
-
-    def _distances(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """(x, p, n, m, shared) of pairs whose sizes allow half a similarity or more (beyond, no window matters)."""
-        sizes = self.classes.select("x", "n")
-        pairs = pairs.join(sizes, "x").join(sizes.select(F.col("x").alias("p"), F.col("n").alias("m")), "p").where("2 * least(n, m) >= greatest(n, m)").select("x", "p")
-        both = pairs.join(sets, "x").join(sets.select(F.col("x").alias("p"), F.col("n").alias("m"), F.col("s").alias("t")), "p")
-        return both.select("x", "p", "n", "m", F.size(F.array_intersect("s", "t")).cast("long").alias("shared"))
+        rooted = sets.join(left, "x", "left_semi").join(label, "x", "left").join(home, "x", "left").select("x", "n", "s", F.coalesce("root", "x").alias("root"), F.col("home.u").alias("u"), F.col("home.p").alias("h"))
+        rows = rooted.select("x", "root", F.explode("s").alias("g"))
+        shared = stored(rows.select("g", "root").distinct().groupBy("g").agg(F.count("*").alias("m")).where("m > 1"))
+        met = rows.join(shared, "g").groupBy("x").agg(F.sort_array(F.collect_list(F.struct("m", "g"))).alias("met"))
+        at = F.posexplode("met").alias("k", "t")
+        placed = rooted.drop("s").join(met, "x").select("x", "n", "root", "u", "h", (F.col("n") - F.size("met")).alias("own"), at)
+        placed = stored(placed.withColumn("at", F.col("own") + F.col("k")).where("at <= floor(n / 4)").select(F.col("t.g").alias("g"), "x", "n", "root", "u", "h", "at"))
+        count = placed.groupBy("g", "root").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "root")).alias("big"), F.count("*").alias("roots"))
+        mixed = stored(placed.join(count.where("roots > 1").select("g", F.col("big.root").alias("big")), "g"))
+        a = mixed.where("root != big").drop("big")
+        b = mixed.select("g", *[F.col(c).alias(f"{c}2") for c in ("x", "n", "root", "u", "h", "at")])
+        common = F.expr("(3 * (n + n2) + 6) div 7")
+        window = F.col("h").isNull() | F.col("h2").isNull() | (F.col("h") != F.col("h2")) | (F.abs(F.col("u") - F.col("u2")) <= 0.25 + 1e-9)
+        pairs = a.join(b, (a.g == b.g) & (F.col("root") != F.col("root2")) & (F.col("at") + common <= F.col("n")) & (F.col("at2") + common <= F.col("n2")) & window)
+        pairs = stored(pairs.select(F.least("x", "x2").alias("x"), F.greatest("x", "x2").alias("p")).distinct())
+        forget(shared, placed, mixed)
+        return pairs
+
+    def joined(self, label: DataFrame, near: DataFrame) -> DataFrame:
+        """label(x, root) after the links of near(x, p, linked); sets without a link have no row. Stored; label is deleted."""
+        root = label.select(F.col("x").alias("y"), "root")
+        links = near.where("linked").select("x", "p")
+        ends = links.join(root.select(F.col("y").alias("x"), F.col("root").alias("a")), "x", "left").join(root.select(F.col("y").alias("p"), F.col("root").alias("b")), "p", "left")
+        ends = ends.select(F.coalesce("a", "x").alias("x"), F.coalesce("b", "p").alias("p")).where("x != p").distinct()
+        over = _connected(ends)  # of roots
+        to = over.select(F.col("x").alias("root"), F.col("root").alias("to"))
+        moved = label.join(to, "root", "left").select("x", F.coalesce("to", "root").alias("root"))
+        new = over.join(label.select("x"), "x", "left_anti")
+        out = stored(moved.union(new))
+        forget(label, over)
+        return out
 
     def components(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row of docs."""
-        label = self.bridged(_connected(self.links()))
-        low = self.classes.join(label, "x", "left").select("x", F.coalesce("root", "x").alias("root"), "rep")
+        label = self.labels()
+        low = self.classes.select("x", "rep").join(label, "x", "left").select("x", F.coalesce("root", "x").alias("root"), "rep")
         least = low.groupBy("root").agg(F.min("rep").alias("component_id"))
         of_class = stored(low.join(least, "root").select(F.col("x").alias("c"), "component_id"))
-        out = self.rows.select("d", "c", "n").join(of_class, "c", "left")
+        forget(label, self.classes)
+        out = self.rows.join(of_class, "c", "left")
         return out.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("d")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _connected(links: DataFrame) -> DataFrame:
-    """(x, root) of the nodes of links(x, p): the least node that each reaches.
+    """(x, root) of the nodes of links(x, p): the least node that each reaches. Stored.
 
     Labels spread along links and are then followed to the label's own label, so that a chain shrinks by a power of two
     a round; rounds end when no label changes.
     """
     both = stored(links.select("x", F.col("p").alias("y")).union(links.select(F.col("p"), F.col("x"))).distinct())
-    label = stored(both.groupBy("x").agg(F.least("x", F.min("y")).alias("root")))
-    while True:
+    label = stored(both.groupBy("x").agg(F.least("x", F.min("y")).alias("root"), F.lit(True).alias("moved")))
+    while not label.where("moved").isEmpty():
         around = both.join(label.select(F.col("x").alias("y"), "root"), "y").groupBy("x").agg(F.min("root").alias("near"))
         over = label.select(F.col("x").alias("root"), F.col("root").alias("next"))
-        step = label.join(around, "x").join(over, "root").select("x", F.least("root", "near", "next").alias("root"), F.col("root").alias("old"))
-        step = stored(step)
-        label = step.select("x", "root")
-        if step.where("root != old").isEmpty():
-            return label
+        least = F.least("root", "near", "next")
+        step = stored(label.join(around, "x").join(over, "root").select("x", least.alias("root"), (least != F.col("root")).alias("moved")))
+        forget(label)
+        label = step
+    forget(both)
+    out = label.select("x", "root")
+    out._stored_at = label._stored_at
+    return out
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -255,6 +245,7 @@ def components(docs: DataFrame) -> DataFrame:
     with fewer words has one shingle, the whole sequence; without words it has none and links with nothing (its
     component_id is its own doc_id, null or not). component_id is the least doc_id that links reach; null doc_ids take
     part but name no component unless it has no other. Shingles and sequences are told apart by 64-bit hashes. Equal
-    texts are one class, so groups of exact copies are never paired. Extra columns are ignored.
+    texts are one class, so groups of exact copies are never paired. Every row has a row in the result, repeated ones
+    too; an empty table gives an empty one. Extra columns are ignored.
     """
     return JaccardJoin(docs).components()

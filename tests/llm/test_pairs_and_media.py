@@ -59,9 +59,9 @@ def brute_components(rows):
     return sorted(((d, len(sets[k]), least.get(find(k)) if sets[k] else d) for k, (d, _) in enumerate(rows)), key=repr)
 
 
-@pytest.mark.parametrize("hot", [64, 3])
-def test_components_equal_all_pairs(spark, monkeypatch, hot):
-    monkeypatch.setattr(jaccard, "HOT", hot)
+@pytest.mark.parametrize("few", [64, 3])
+def test_components_equal_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(jaccard, "FEW", few)
     rows = corpus()
     df = frame(spark, rows).withColumn("x", F.lit("clash")).withColumn("c", F.lit(1))
     assert sorted(map(tuple, jaccard.components(df).collect()), key=repr) == brute_components(rows)
@@ -77,15 +77,50 @@ def bridge_groups(groups=6, copies=25, seed=11):
     return [(int(k), x) for k, x in zip(r.permutation(len(rows)), rows, strict=True)]
 
 
-@pytest.mark.parametrize("hot", [64, 3])
-def test_components_with_bridges_equal_all_pairs(spark, monkeypatch, hot):
-    monkeypatch.setattr(jaccard, "HOT", hot)
+@pytest.mark.parametrize("few", [64, 3])
+def test_components_with_bridges_equal_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(jaccard, "FEW", few)
     rows = bridge_groups()
     want = brute_components(rows)
     assert len({c for _, _, c in want}) == 6
     assert sorted(map(tuple, jaccard.components(frame(spark, rows)).collect()), key=repr) == want
 
 
+def test_components_of_nested_texts_equal_all_pairs(spark):
+    r = np.random.default_rng(3)
+    rows = [" ".join(f"n{g}_{k}" for k in range(n)) for g in range(1000) for n in (49, 64, 84, 104)]
+    rows = [(int(k), x) for k, x in zip(r.permutation(len(rows)), rows, strict=True)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.components(frame(spark, rows)).collect()}
+    groups = {}
+    for d, x in rows:
+        groups.setdefault(x.split("_")[0], []).append((d, x))
+    want = {d: (n, c) for group in groups.values() for d, n, c in brute_components(group)}
+    assert got == want
+
+
+def test_components_of_edited_families_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW", 5)
+    r, rows = np.random.default_rng(12), []
+    for g in range(4):
+        family = [[f"f{g}_{k}" for k in range(120)]]
+        for _ in range(120):
+            w = list(family[int(r.integers(len(family)))])
+            for _ in range(int(r.integers(1, 5))):
+                k = int(r.integers(len(w)))
+                if (kind := r.random()) < 0.4:
+                    w[k] = f"e{r.integers(10**9)}"
+                elif kind < 0.7:
+                    del w[k : k + int(r.integers(1, 6))]
+                else:
+                    w.insert(k, f"i{r.integers(10**9)}")
+            family.append(w)
+        rows += [" ".join(x) for x in family]
+    rows = [(int(k), x) for k, x in zip(r.permutation(len(rows)), rows, strict=True)]
+    want = brute_components(rows)
+    assert len({c for _, _, c in want}) > 8
+    assert sorted(map(tuple, jaccard.components(frame(spark, rows)).collect()), key=repr) == want
+
+
 def test_components_of_no_rows(spark):
     assert jaccard.components(frame(spark, [])).count() == 0
 
