@@ -12,8 +12,8 @@ How the exact join stays near-linear.
 * Recursion. Regions in which two components meet are split anew, now by all shingles of their sets, those first that the
   fewest components have: a shingle of one component can't be shared with another, so that of a large group only what
   its sets don't have in common is looked at. Two sets of different components are compared if a common shingle stands
-  early enough in both for their sizes, and if they pass the triangle window: seen from a pivot of both, their
-  distances differ by R at most.
+  early enough in both for their sizes, if they pass the triangle window (seen from a pivot of both, their distances
+  differ by R at most), and if sketches of both are no farther apart than sets that link.
 
 So sets of one component are never paired. Only a cloud of sets that share nearly all of their shingles, keep a common
 distance just beyond R and have no centre is compared pair by pair.
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import blocks_of, forget, grams, sequence_hash, stored, utf8, within, words
 
 N = 5  #: words of a shingle
+BITS = 16  #: longs of a set's sketch
 FEW = 64  #: sets of a region that needs no second pivot
 SMALL = 200_000  #: rows of ids that are broadcast, if counted
 
@@ -40,6 +41,12 @@ def _shingles(w: np.ndarray) -> np.ndarray:
     return np.unique(grams(w, min(N, len(w))).view(np.int64))
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """64 * BITS parities of shingles by hash: two sketches differ in no more bits than their sets in shingles."""
+    odd = np.bincount((s.view(np.uint64) >> np.uint64(20)).astype(np.int64) % (64 * BITS), minlength=64 * BITS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def _emitted(n: int) -> int:
     return n // 4 + n // 10 + 1
 
@@ -50,9 +57,9 @@ def _dropped(n: Column) -> Column:
 
 
 def _sets(whole: bool):
-    """For mapInArrow: (d, text) rows become (d, c, n, s): content hash, set size, and the set or what it emits.
+    """For mapInArrow: (d, text) rows become (d, c, n, s, b): content hash, set size, the set or what it emits, a sketch.
 
-    Unless the set is wanted whole, s is null where the task had the same content shortly before.
+    Unless the set is wanted whole, b is null, and s too where the task had the same content shortly before.
     """
 
     def work(batches):
@@ -75,12 +82,13 @@ def _sets(whole: bool):
                 at = np.concatenate(([0], np.cumsum([0 if s is None else len(s) for s in sets])))
                 flat = np.concatenate([s for s in sets if s is not None] or [np.zeros(0, np.int64)])
                 lists = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(flat, pa.int64()), mask=pa.array([s is None for s in sets])).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("d"), pa.array(c, pa.int64()), pa.array(n, pa.int64()), lists], names=["d", "c", "n", "s"])
+                bits = pa.array([_sketch(s) if whole else None for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("d"), pa.array(c, pa.int64()), pa.array(n, pa.int64()), lists, bits], names=["d", "c", "n", "s", "b"])
 
     return work
 
 
-SET = "d long, c long, n long, s array<long>"
+SET = "d long, c long, n long, s array<long>, b array<long>"
 
 
 class JaccardJoin:
@@ -98,13 +106,13 @@ class JaccardJoin:
         forget(read)
 
     def sets_of(self, wanted: DataFrame) -> DataFrame:
-        """(x, n, s): the whole sets of the classes wanted(x)."""
+        """(x, n, s, b): the whole sets of the classes wanted(x), and their sketches."""
         wanted = within(wanted, SMALL)
         docs = self.classes.join(wanted, "x", "left_semi").select(F.col("rep").alias("d")).distinct()
         docs = within(docs, SMALL)
         text = self.keyed.join(docs, self.keyed.d.eqNullSafe(docs.d), "left_semi")
         # A doc_id may have several texts, and a null one too: other classes that come along go.
-        sets = text.mapInArrow(_sets(True), SET).select(F.col("c").alias("x"), "n", "s").where("n > 0")
+        sets = text.mapInArrow(_sets(True), SET).select(F.col("c").alias("x"), "n", "s", "b").where("n > 0")
         return stored(sets.join(wanted, "x", "left_semi").dropDuplicates(["x"]))
 
     def regions(self) -> DataFrame:
@@ -147,9 +155,12 @@ class JaccardJoin:
             more = self.compared(pairs.join(seen.select("x", "p"), ["x", "p"], "left_anti"), sets)
             tables += [more, pivots]
             seen, used = seen.union(more), used.union(pivots.select("g", F.col("p").alias("x")))
-            if more.where("linked").isEmpty():
+            n, links = more.agg(F.count("*"), F.count_if("linked")).first()
+            if not links:
                 break
             label = self.joined(label, more)
+            if links < n / 10:  # the recursion finds what is left with less work
+                break
         # The distance to the nearest pivot, for the window.
         home = seen.groupBy("x").agg(F.min(F.struct("u", "p")).alias("home"))
         pivots_home = seen.select(F.col("p").alias("x"), F.struct(F.lit(0.0).alias("u"), "p").alias("home")).distinct()
@@ -172,22 +183,24 @@ class JaccardJoin:
 
         Shingles are in the order of the number of components that have them. With sizes n and m, two sets that link have
         at least a = ceil(3 (n + m) / 7) shingles in common, so the first common one is among the first n - a + 1 and
-        m - a + 1.
+        m - a + 1, and they differ in n + m - 2 a at most, as do their sketches.
         """
-        rooted = sets.join(left, "x", "left_semi").join(label, "x", "left").join(home, "x", "left").select("x", "n", "s", F.coalesce("root", "x").alias("root"), F.col("home.u").alias("u"), F.col("home.p").alias("h"))
+        rooted = sets.join(left, "x", "left_semi").join(label, "x", "left").join(home, "x", "left").select("x", "n", "s", "b", F.coalesce("root", "x").alias("root"), F.col("home.u").alias("u"), F.col("home.p").alias("h"))
         rows = rooted.select("x", "root", F.explode("s").alias("g"))
         shared = stored(rows.select("g", "root").distinct().groupBy("g").agg(F.count("*").alias("m")).where("m > 1"))
         met = rows.join(shared, "g").groupBy("x").agg(F.sort_array(F.collect_list(F.struct("m", "g"))).alias("met"))
         at = F.posexplode("met").alias("k", "t")
-        placed = rooted.drop("s").join(met, "x").select("x", "n", "root", "u", "h", (F.col("n") - F.size("met")).alias("own"), at)
-        placed = stored(placed.withColumn("at", F.col("own") + F.col("k")).where("at <= floor(n / 4)").select(F.col("t.g").alias("g"), "x", "n", "root", "u", "h", "at"))
+        placed = rooted.drop("s").join(met, "x").select("x", "n", "b", "root", "u", "h", (F.col("n") - F.size("met")).alias("own"), at)
+        placed = stored(placed.withColumn("at", F.col("own") + F.col("k")).where("at <= floor(n / 4)").select(F.col("t.g").alias("g"), "x", "n", "b", "root", "u", "h", "at"))
         count = placed.groupBy("g", "root").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "root")).alias("big"), F.count("*").alias("roots"))
         mixed = stored(placed.join(count.where("roots > 1").select("g", F.col("big.root").alias("big")), "g"))
         a = mixed.where("root != big").drop("big")
-        b = mixed.select("g", *[F.col(c).alias(f"{c}2") for c in ("x", "n", "root", "u", "h", "at")])
+        b = mixed.select("g", *[F.col(c).alias(f"{c}2") for c in ("x", "n", "b", "root", "u", "h", "at")])
         common = F.expr("(3 * (n + n2) + 6) div 7")
         window = F.col("h").isNull() | F.col("h2").isNull() | (F.col("h") != F.col("h2")) | (F.abs(F.col("u") - F.col("u2")) <= 0.25 + 1e-9)
-        pairs = a.join(b, (a.g == b.g) & (F.col("root") != F.col("root2")) & (F.col("at") + common <= F.col("n")) & (F.col("at2") + common <= F.col("n2")) & window)
+        apart = sum(F.bit_count(F.col("b")[k].bitwiseXOR(F.col("b2")[k])) for k in range(BITS))
+        fits = (F.col("root") != F.col("root2")) & (F.col("at") + common <= F.col("n")) & (F.col("at2") + common <= F.col("n2")) & window
+        pairs = a.join(b, (a.g == b.g) & fits & (apart <= F.col("n") + F.col("n2") - 2 * common))
         pairs = stored(pairs.select(F.least("x", "x2").alias("x"), F.greatest("x", "x2").alias("p")).distinct())
         forget(shared, placed, mixed)
         return pairs
