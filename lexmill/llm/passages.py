@@ -1,4 +1,4 @@
-"""Suffix-array dedup: suffixes around repeated minimisers, grouped by their first 50 words; runs of these are passages."""
+"""Suffix-array dedup: suffixes kept by minimisers, sorted; neighbours compared, matches joined into whole passages."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from lexmill.llm.common import arrow_rows, blocks_of, forget, grams, stored, utf
 
 LEAST = 50  #: words of a passage
 GRAM = 20  #: words of a gram; a passage of LEAST words has LEAST - GRAM + 1 of them, and the least one is retained
-
+LAST = 2**63 - 1  #: stands for a null doc_id
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     """best (np.minimum or np.maximum) of each `width` values in a row, in constant time a value."""
@@ -32,74 +32,143 @@ def minimisers(g: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(_sliding(np.concatenate((edge, _sliding(g, window, np.minimum), edge)), window, np.maximum) == g)
 
 
-def _suffixes(batches):
-    """Rows (d, h, text) become (g, d, h, at): the grams that start retained suffixes."""
+def _retained(batches):
+    """Rows (d, h, text) become (d, h, n, gs): words of the text, and the grams that its minimisers retain.
+
+    gs is null for texts of fewer than LEAST words, and where the task had the same text shortly before.
+    """
+    seen: set[int] = set()
     for batch in batches:
         for part in blocks_of(batch, "text"):
             w, _, _, rows = words(*utf8(part.column("text")))
-            found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            counts = np.zeros(part.num_rows, np.int64)
-            for k in np.flatnonzero(np.diff(rows) >= LEAST).tolist():
+            found: list[np.ndarray | None] = []
+            for k, h in enumerate(part.column("h").to_pylist()):
+                if h in seen or rows[k + 1] - rows[k] < LEAST:
+                    found.append(None)
+                    continue
+                if len(seen) >= 1 << 17:
+                    seen.clear()
+                seen.add(h)
                 g = grams(w[rows[k] : rows[k + 1]], GRAM)
-                at = minimisers(g, LEAST - GRAM + 1)
-                counts[k] = len(at)
-                found.append(g[at])
-                places.append(at)
-            owner = pa.array(np.repeat(np.arange(part.num_rows), counts))
-            g, at = pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(places))
-            yield pa.RecordBatch.from_arrays([g, part.column("d").take(owner), part.column("h").take(owner), at], names=["g", "d", "h", "at"])
+                found.append(g[minimisers(g, LEAST - GRAM + 1)].view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("d"), part.column("h"), pa.array(np.diff(rows)), pa.array(found, pa.list_(pa.int64()))], names=["d", "h", "n", "gs"])
 
 
-def _passages(batches):
-    """Rows (d, h, text, ats) become (key, d, h, at): the passages of LEAST words that hold one of the grams at ats."""
+def _suffixes(batches):
+    """Rows (d, h, text, gs) become (d, h, at, key): the places of the text whose next LEAST words have as their least gram
+    one of gs, and 64-bit hashes of these words."""
     for batch in batches:
         for part in blocks_of(batch, "text"):
             w, _, _, rows = words(*utf8(part.column("text")))
-            found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            counts = np.zeros(part.num_rows, np.int64)
-            for k, ats in enumerate(part.column("ats")):
-                key = grams(w[rows[k] : rows[k + 1]], LEAST)
-                ats = ats.values.to_numpy(zero_copy_only=False)
-                edges = np.zeros(len(key) + 1, np.int64)  # +1 where the passages that hold a gram begin, -1 after them
-                np.add.at(edges, np.maximum(ats - (LEAST - GRAM), 0), 1)
-                np.add.at(edges, np.minimum(ats + 1, len(key)), -1)
-                at = np.flatnonzero(np.cumsum(edges[:-1]))
-                counts[k] = len(at)
-                found.append(key[at])
-                places.append(at)
-            owner = pa.array(np.repeat(np.arange(part.num_rows), counts))
-            key, at = pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(places))
-            yield pa.RecordBatch.from_arrays([key, part.column("d").take(owner), part.column("h").take(owner), at], names=["key", "d", "h", "at"])
-
-
-def matches(docs: DataFrame) -> DataFrame:
-    """(d, h, at, d0, h0, at0): each place of a passage of LEAST words but the first, and the first, by (d, h, at).
+            places, keys = [], []
+            for k, gs in enumerate(part.column("gs")):
+                own = w[rows[k] : rows[k + 1]]
+                least = _sliding(grams(own, GRAM), LEAST - GRAM + 1, np.minimum)
+                at = np.flatnonzero(np.isin(least.view(np.int64), gs.values.to_numpy(zero_copy_only=False)))
+                places.append(at.astype(np.int32))
+                keys.append(grams(own, LEAST)[at].view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("d"), part.column("h"), pa.array(places, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))], names=["d", "h", "at", "key"])
+
+
+def _neighbours(batches):
+    """Sorted rows (key, d, h, at) of a partition become (key, d, h, at, late, other) where neighbours have the same key.
+
+    late says whether an earlier place has the key, other is the doc_id of the first place, or for that the second one's.
+    Runs of the partition's first and last key may go on elsewhere: each of these keys has a row with at = -1, and its
+    places are there even if there is only one. Of a run no more than its first and last place are held.
+    """
+    run = None  # key, first place, last place, whether the first place was given out
+    edge = None  # the partition's first key
+
+    def rows(*columns):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "d", "h", "at", "late", "other"])
+
+    def one(key, place, other=0):
+        return rows([key], [place[0]], [place[1]], [place[2]], [False], [other])
+
+    for batch in batches:
+        key, d, h, at = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "d", "h", "at"))
+        fresh = np.ones(len(key), bool)  # equal rows are one
+        fresh[1:] = (key[1:] != key[:-1]) | (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (at[1:] != at[:-1])
+        if run and len(key):
+            fresh[0] = (key[0], d[0], h[0], at[0]) != (run[0], *run[2])
+        key, d, h, at = key[fresh], d[fresh], h[fresh], at[fresh]
+        if not len(key):
+            continue
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(starts, len(key)))
+        late, told, other = np.ones(len(key), bool), np.repeat(size > 1, size), np.repeat(d[starts], size)
+        late[starts] = False
+        several = starts[size > 1]
+        other[several] = d[several + 1]
+        if edge is None:
+            edge = key[0]
+            yield one(edge, (0, 0, -1))
+            told[0] |= len(starts) > 1
+        goes_on = run is not None and run[0] == key[0]
+        if goes_on:
+            late[: size[0]], told[: size[0]], other[: size[0]] = True, True, run[1][0]
+        if run and not run[3] and (goes_on or run[0] == edge):
+            yield one(run[0], run[1], d[0] if goes_on else 0)
+        yield rows(*(c[told] for c in (key, d, h, at, late, other)))
+        if len(starts) > 1 or not goes_on:
+            s = starts[-1]
+            run = [key[s], (d[s], h[s], at[s]), None, size[-1] > 1 or bool(told[s])]
+        else:
+            run[3] = True
+        run[2] = (d[-1], h[-1], at[-1])
+    if run:
+        if not run[3]:
+            yield one(run[0], run[1])
+        yield one(run[0], (0, 0, -1))
+
+
+def retained(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is kept of the texts of docs: (d, h, n, gs) of each row, (h, first, last, n, gs) of each text, and
+    (d, h, at, key) of each text that may share a passage, with its retained suffixes. All are stored.
 
     d is the doc_id, the greatest long for null, and h a hash of the text. Words are runs of [^\\x20\\x09-\\x0D], A-Z
-    lower-cased. Retained suffixes start at minimiser grams, so all places of a passage retain one of its suffixes at the
-    same word. Around those whose gram occurs twice, suffixes at every word are grouped by their first LEAST words, and
-    each is matched with the group's first place. Hence no place is lost, however much of its context others share,
-    and a passage that a third of all documents share makes one row for each of them. Passages are told apart by 64-bit
-    hashes; longer ones are runs of these.
+    lower-cased. A suffix is retained if the least gram of its first LEAST words occurs in another place too: every place
+    of a passage has the same least gram, so none is lost. Equal texts count once.
     """
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64("text").alias("h"), "text").where("text is not null")
-    prints = stored(keyed.mapInArrow(_suffixes, "g long, d long, h long, at long"))
-    twice = prints.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    wanted = stored(prints.join(twice, "g", "left_semi").groupBy("d", "h").agg(F.collect_set("at").alias("ats")))
-    texts = keyed.join(wanted, ["d", "h"]).dropDuplicates(["d", "h"])
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64("text").alias("h"), "text").where("text is not null")
+    read = stored(keyed.mapInArrow(_retained, "d long, h long, n long, gs array<long>"))
+    texts = stored(read.groupBy("h").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.first("n").alias("n"), F.first("gs", True).alias("gs")).where(F.col("n") >= LEAST))
+    kept = texts.select(F.col("first").alias("d"), "h", F.explode("gs").alias("g"))
+    twice = stored(kept.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g"))
+    wanted = stored(kept.join(twice, "g").groupBy("d", "h").agg(F.collect_set("g").alias("gs")))
     with arrow_rows(docs.sparkSession, 256):
-        suffixes = stored(texts.select("d", "h", "text", "ats").mapInArrow(_passages, "key long, d long, h long, at long"))
-    forget(prints, wanted)
+        suffixes = stored(keyed.join(wanted, ["d", "h"]).select("d", "h", "text", "gs").mapInArrow(_suffixes, "d long, h long, at array<int>, key array<long>"))
+    forget(twice, wanted)
+    return read, texts, suffixes
+
+
+def matches(suffixes: DataFrame) -> DataFrame:
+    """(d, h, at, late, other) of each place of a passage of LEAST words that occurs twice; see _neighbours. Stored.
+
+    Suffixes are sorted by a 64-bit hash of their first LEAST words, then by place, and compared with their neighbours. The
+    ranges of the sort may cut the places of a passage, so that one which a third of all documents share is many tasks'
+    work; the first and last key of each range, two a task, are put together afterwards.
+    """
+    rows = suffixes.select("d", "h", F.explode(F.arrays_zip("at", "key")).alias("s")).select(F.col("s.key").alias("key"), "d", "h", F.col("s.at").alias("at"))
+    order = ["key", "d", "h", "at"]
+    told = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, "key long, d long, h long, at long, late boolean, other long"))
+    edges = F.broadcast(told.where("at < 0").select("key").distinct())  # two a task
+    whole, cut = told.where("at >= 0").join(edges, "key", "left_anti"), told.where("at >= 0").join(edges, "key", "left_semi")
     here = F.struct("d", "h", "at")
-    first = suffixes.groupBy("key").agg(F.count("*").alias("n"), F.min(here).alias("p")).where("n > 1").drop("n")
-    found = suffixes.join(first, "key").where(here > F.col("p"))
-    found = stored(found.select("d", "h", "at", F.col("p.d").alias("d0"), F.col("p.h").alias("h0"), F.col("p.at").alias("at0")))
-    forget(suffixes)
-    return found
+    first = F.broadcast(cut.groupBy("key").agg(F.min(here).alias("p")))  # no more than the edges
+    cut = cut.join(first, "key").withColumn("late", here > F.col("p"))
+    second = F.broadcast(cut.where("late").groupBy("key").agg(F.min("d").alias("second")))
+    cut = cut.join(second, "key").withColumn("other", F.when(F.col("late"), F.col("p.d")).otherwise(F.col("second")))
+    names = ["d", "h", "at", "late", "other"]
+    out = stored(whole.select(*names).union(cut.select(*names).distinct()))
+    forget(told)
+    return out
 
 
 def _spans(batches):
-    """Rows (d, other, all, late) with starts of passages become (d, spans, later, other): spans joined where they meet."""
+    """Rows (h, other, all, late) with starts of passages become (h, spans, later, other): spans joined where they meet."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         columns = []
@@ -111,7 +180,7 @@ def _spans(batches):
                 lows, highs = x[np.concatenate(([0], new))] if len(x) else x, x[np.concatenate((new - 1, [-1]))] + LEAST if len(x) else x
                 out.append([{"start": a, "end": b} for a, b in zip(lows.tolist(), highs.tolist(), strict=True)])
             columns.append(pa.array(out, kind))
-        yield pa.RecordBatch.from_arrays([batch.column("d"), *columns, batch.column("other")], names=["d", "spans", "later", "other"])
+        yield pa.RecordBatch.from_arrays([batch.column("h"), *columns, batch.column("other")], names=["h", "spans", "later", "other"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -120,16 +189,27 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     spans are the document's repeated word ranges [start, end), joined where they meet; n_repeated counts their words;
     later are those of them that an earlier place has too, which a deletion would take; partner is the least doc_id of
     those it shares one with (itself, if a passage recurs within it). Documents without such a passage have no row.
+    Places are in the order of doc_id, then of a hash of the text, then of words.
 
-    null texts and texts of fewer than LEAST words have none. Equal rows are one document; null doc_ids come last and
-    are told apart by text. Columns other than doc_id and text are ignored.
+    null texts and texts of fewer than LEAST words have none; an empty table gives an empty one. Equal rows are one
+    document; of equal texts the one with the least doc_id is compared with others, the rest are repeated as a whole.
+    null doc_ids come last and are told apart by text. Columns other than doc_id and text are ignored.
     """
-    found = matches(docs)
-    sides = found.select("d", "h", "at", F.lit(True).alias("late"), F.col("d0").alias("other"))
-    sides = sides.union(found.select("d0", "h0", "at0", F.lit(False), F.col("d")))
-    starts = sides.groupBy("d", "h", "at").agg(F.max("late").alias("late"), F.min("other").alias("other"))
-    out = starts.groupBy("d", "h").agg(F.collect_list("at").alias("all"), F.collect_list(F.when(F.col("late"), F.col("at"))).alias("late"), F.min("other").alias("other"))
+    read, texts, suffixes = retained(docs)
+    found = matches(suffixes)
+    forget(suffixes)
     spans = "array<struct<start:bigint,end:bigint>>"
-    out = out.select("d", "other", "all", "late").mapInArrow(_spans, f"d long, spans {spans}, later {spans}, other long")
-    real = lambda c: F.when(F.col(c) != 2**63 - 1, F.col(c))
+    by_text = found.groupBy("h").agg(F.collect_list("at").alias("all"), F.collect_list(F.when(F.col("late"), F.col("at"))).alias("late"), F.min("other").alias("other"))
+    by_text = by_text.mapInArrow(_spans, f"h long, spans {spans}, later {spans}, other long")
+    rows = read.select("d", "h").distinct()
+    second = rows.join(texts.where("first < last").select("h", "first"), "h").where("d > first").groupBy("h").agg(F.min("d").alias("second"))
+    info = texts.drop("gs").join(by_text, "h", "left").join(second, "h", "left").where("spans is not null or second is not null")
+    info = stored(info)
+    forget(found, texts)
+    out = rows.join(info, "h")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
+    later = F.when(F.col("d") > F.col("first"), whole).otherwise(F.coalesce("later", F.array().cast(spans)))
+    out = out.withColumn("later", later).withColumn("spans", F.when(F.col("second").isNotNull(), whole).otherwise(F.col("spans")))
+    out = out.withColumn("other", F.least("other", F.when(F.col("d") > F.col("first"), F.col("first")).otherwise(F.col("second"))))
+    real = lambda c: F.when(F.col(c) != LAST, F.col(c))
     return out.select(real("d").alias("doc_id"), F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("n_repeated"), "spans", "later", real("other").alias("partner"))
