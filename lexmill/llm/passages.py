@@ -71,28 +71,30 @@ def _suffixes(batches):
 
 
 def _neighbours(batches):
-    """Sorted rows (key, d, h, at) of a partition become (key, d, h, at, late, other) where neighbours have the same key.
+    """Sorted rows (key, d, h, at) of a partition become (key, d, h, at, late, other, mark) where neighbours have one key.
 
     late says whether an earlier place has the key, other is the doc_id of the first place, or for that the second one's.
-    Runs of the partition's first and last key may go on elsewhere: each of these keys has a row with at = -1, and its
-    places are there even if there is only one. Of a run no more than its first and last place are held.
+    Runs of the partition's first and last key may go on elsewhere: their places are there even if there is only one
+    (other is null then), and each has another row, the mark, like that of its first place. Of a run no more than three
+    places are held.
     """
-    run = None  # key, first place, last place, whether the first place was given out
+    run = None  # key, first place, doc_id of the second, last place, whether the first place was given out
     edge = None  # the partition's first key
 
-    def rows(*columns):
+    def rows(*columns, mark=False):
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "d", "h", "at", "late", "other"])
+        columns = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(columns[0]), mark))], names=["key", "d", "h", "at", "late", "other", "mark"])
 
-    def one(key, place, other=0):
-        return rows([key], [place[0]], [place[1]], [place[2]], [False], [other])
+    def one(key, place, second, mark=False):
+        return rows([key], [place[0]], [place[1]], [place[2]], [False], [second], mark=mark)
 
     for batch in batches:
         key, d, h, at = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "d", "h", "at"))
         fresh = np.ones(len(key), bool)  # equal rows are one
         fresh[1:] = (key[1:] != key[:-1]) | (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (at[1:] != at[:-1])
         if run and len(key):
-            fresh[0] = (key[0], d[0], h[0], at[0]) != (run[0], *run[2])
+            fresh[0] = (key[0], d[0], h[0], at[0]) != (run[0], *run[3])
         key, d, h, at = key[fresh], d[fresh], h[fresh], at[fresh]
         if not len(key):
             continue
@@ -102,26 +104,31 @@ def _neighbours(batches):
         late[starts] = False
         several = starts[size > 1]
         other[several] = d[several + 1]
-        if edge is None:
-            edge = key[0]
-            yield one(edge, (0, 0, -1))
-            told[0] |= len(starts) > 1
-        goes_on = run is not None and run[0] == key[0]
-        if goes_on:
+        begins = [[key[k], (d[k], h[k], at[k]), d[k + 1] if n > 1 else None, None, n > 1] for k, n in ((starts[0], size[0]), (starts[-1], size[-1]))]
+        if run and run[0] == key[0]:
             late[: size[0]], told[: size[0]], other[: size[0]] = True, True, run[1][0]
-        if run and not run[3] and (goes_on or run[0] == edge):
-            yield one(run[0], run[1], d[0] if goes_on else 0)
+            if run[2] is None:
+                run[2] = d[0]
+            if not run[4]:
+                yield one(*run[:3])
+                run[4] = True
+            begins[0] = run
+        elif run and run[0] == edge:  # the first run ended with its batch
+            if not run[4]:
+                yield one(*run[:3])
+            yield one(*run[:3], mark=True)
+        edge = key[0] if edge is None else edge
+        if len(starts) > 1 and begins[0][0] == edge:  # the first run ends here
+            if not begins[0][4]:
+                yield one(*begins[0][:3])
+            yield one(*begins[0][:3], mark=True)
         yield rows(*(c[told] for c in (key, d, h, at, late, other)))
-        if len(starts) > 1 or not goes_on:
-            s = starts[-1]
-            run = [key[s], (d[s], h[s], at[s]), None, size[-1] > 1 or bool(told[s])]
-        else:
-            run[3] = True
-        run[2] = (d[-1], h[-1], at[-1])
+        run = begins[1] if len(starts) > 1 else begins[0]
+        run[3] = (d[-1], h[-1], at[-1])
     if run:
-        if not run[3]:
-            yield one(run[0], run[1])
-        yield one(run[0], (0, 0, -1))
+        if not run[4]:
+            yield one(*run[:3])
+        yield one(*run[:3], mark=True)
 
 
 def retained(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -149,20 +156,19 @@ def matches(suffixes: DataFrame) -> DataFrame:
 
     Suffixes are sorted by a 64-bit hash of their first LEAST words, then by place, and compared with their neighbours. The
     ranges of the sort may cut the places of a passage, so that one which a third of all documents share is many tasks'
-    work; the first and last key of each range, two a task, are put together afterwards.
+    work; what they don't know of the first and last key of their range is put together from the marks, two a task.
     """
     rows = suffixes.select("d", "h", F.explode(F.arrays_zip("at", "key")).alias("s")).select(F.col("s.key").alias("key"), "d", "h", F.col("s.at").alias("at"))
     order = ["key", "d", "h", "at"]
-    told = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, "key long, d long, h long, at long, late boolean, other long"))
-    edges = F.broadcast(told.where("at < 0").select("key").distinct())  # two a task
-    whole, cut = told.where("at >= 0").join(edges, "key", "left_anti"), told.where("at >= 0").join(edges, "key", "left_semi")
+    told = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, "key long, d long, h long, at long, late boolean, other long, mark boolean"))
     here = F.struct("d", "h", "at")
-    first = F.broadcast(cut.groupBy("key").agg(F.min(here).alias("p")))  # no more than the edges
-    cut = cut.join(first, "key").withColumn("late", here > F.col("p"))
-    second = F.broadcast(cut.where("late").groupBy("key").agg(F.min("d").alias("second")))
-    cut = cut.join(second, "key").withColumn("other", F.when(F.col("late"), F.col("p.d")).otherwise(F.col("second")))
-    names = ["d", "h", "at", "late", "other"]
-    out = stored(whole.select(*names).union(cut.select(*names).distinct()))
+    marks = told.where("mark").groupBy("key").agg(F.array_sort(F.collect_set(here)).alias("begins"), F.min_by("other", here).alias("second"))
+    # The second place is the first one's neighbour in its range, or where that is alone, the first of the next range.
+    marks = marks.select("key", F.col("begins")[0].alias("p"), F.coalesce("second", F.get("begins", F.lit(1))["d"]).alias("second"))
+    known = told.where("not mark").join(F.broadcast(marks), "key", "left").withColumn("cut", F.col("p").isNotNull())
+    late = F.when(F.col("cut"), here > F.col("p")).otherwise(F.col("late"))
+    other = F.when(~F.col("cut"), F.col("other")).when(here > F.col("p"), F.col("p.d")).otherwise(F.col("second"))
+    out = stored(known.select("d", "h", "at", late.alias("late"), other.alias("other")).where("other is not null"))
     forget(told)
     return out
 
