@@ -109,7 +109,7 @@ class Items:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, rare: float = 0.75, group_items: int = 5000) -> DataFrame:
-    """(doc_id, item_id, score, start, end) of each document and test item of which it holds a copy.
+    """(doc_id, item_id, score, start, end, text_hash) of each document and test item of which it holds a copy.
 
     Seeds are word N-grams (words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased) of the items; counts over the whole corpus
     choose the `rare` share of each item's. Where a seed occurs, the passage around it (the item's length, and half of
@@ -123,8 +123,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, ra
     yield equal rows, other columns are ignored.
     """
     spark = docs.sparkSession
-    docs, out = docs.select("doc_id", "text"), None
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    docs, out = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), None
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("text_hash", T.LongType())])
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct().orderBy("item_id", "text")
     group: list[tuple[int, str]] = []
     for r in rows.toLocalIterator():
@@ -173,8 +173,9 @@ def _find(spark, docs: DataFrame, items: Items, threshold: float, rare: float, s
                     if value[0] >= threshold and value > best.get((row, item), (0.0, 0, 0)):
                         best[row, item] = value
                 keys = sorted(best)
-                columns = [part.column("doc_id").take(pa.array([k[0] for k in keys], pa.int64())), pa.array([items.ids[k[1]] for k in keys], pa.int64())]
+                owner = pa.array([k[0] for k in keys], pa.int64())
+                columns = [part.column("doc_id").take(owner), pa.array([items.ids[k[1]] for k in keys], pa.int64())]
                 columns += [pa.array([best[k][j] for k in keys], kind) for j, kind in enumerate((pa.float64(), pa.int64(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([*columns, part.column("text_hash").take(owner)], names=schema.fieldNames())
 
     return docs.mapInArrow(work, schema)

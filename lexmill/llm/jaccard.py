@@ -57,7 +57,7 @@ def _dropped(n: Column) -> Column:
 
 
 def _sets(whole: bool):
-    """For mapInArrow: (d, text) rows become (d, c, n, s, b): content hash, set size, the set or what it emits, a sketch.
+    """For mapInArrow: (d, t, text) rows become (d, t, c, n, s, b): content hash, set size, the set or what it emits, a sketch.
 
     Unless the set is wanted whole, b is null, and s too where the task had the same content shortly before.
     """
@@ -83,12 +83,12 @@ def _sets(whole: bool):
                 flat = np.concatenate([s for s in sets if s is not None] or [np.zeros(0, np.int64)])
                 lists = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(flat, pa.int64()), mask=pa.array([s is None for s in sets])).cast(pa.list_(pa.int64()))
                 bits = pa.array([_sketch(s) if whole else None for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("d"), pa.array(c, pa.int64()), pa.array(n, pa.int64()), lists, bits], names=["d", "c", "n", "s", "b"])
+                yield pa.RecordBatch.from_arrays([part.column("d"), part.column("t"), pa.array(c, pa.int64()), pa.array(n, pa.int64()), lists, bits], names=["d", "t", "c", "n", "s", "b"])
 
     return work
 
 
-SET = "d long, c long, n long, s array<long>, b array<long>"
+SET = "d long, t long, c long, n long, s array<long>, b array<long>"
 
 
 class JaccardJoin:
@@ -96,10 +96,10 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame):
         self.spark = docs.sparkSession
-        self.keyed = docs.select(F.col("doc_id").cast("long").alias("d"), "text")
+        self.keyed = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), "text")
         read = stored(self.keyed.mapInArrow(_sets(False), SET))
-        #: (d, c, n): one for each row of docs.
-        self.rows = stored(read.select("d", "c", "n"))
+        #: (d, t, c, n): one for each row of docs; t is a hash of the text.
+        self.rows = stored(read.select("d", "t", "c", "n"))
         first = read.where("n > 0").groupBy(F.col("c").alias("x")).agg(F.first("n").alias("n"), F.min("d").alias("rep"), F.first("s", True).alias("s"))
         #: (x, n, rep, s): a class for each distinct sequence of words, the doc_id of one document with it, what it emits.
         self.classes = stored(first)
@@ -229,6 +229,16 @@ class JaccardJoin:
         out = self.rows.join(of_class, "c", "left")
         return out.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("d")).otherwise(F.col("component_id")).alias("component_id"))
 
+    def surplus(self) -> DataFrame:
+        """(d, t) of the documents that go if one of each component stays: the one of the least doc_id, then of t."""
+        label = self.labels()
+        rows = self.rows.where("n > 0").join(label.withColumnRenamed("x", "c"), "c", "left").select(F.coalesce("root", "c").alias("root"), "d", "t")
+        place = F.struct(F.col("d").isNull().alias("last"), "d", "t")
+        first = rows.groupBy("root").agg(F.min(place).alias("first"), F.max(place).alias("other")).where("first != other").select("root", "first")
+        out = stored(rows.join(first, "root").where(place != F.col("first")).select("d", "t").distinct())
+        forget(label, self.classes)
+        return out
+
 
 def _connected(links: DataFrame) -> DataFrame:
     """(x, root) of the nodes of links(x, p): the least node that each reaches. Stored.
@@ -262,3 +272,24 @@ def components(docs: DataFrame) -> DataFrame:
     too; an empty table gives an empty one. Extra columns are ignored.
     """
     return JaccardJoin(docs).components()
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...) with one document of each component: the one of the least doc_id (null last).
+
+    Texts without words are in no component, so all of them stay. Documents are told apart by doc_id and text: where a
+    doc_id has several texts, each is judged by itself, and of equal rows one stays. An empty table gives an empty one.
+    Other columns are kept.
+    """
+    join = JaccardJoin(docs)
+    keys = [F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_t")]
+    same = lambda a, b: a["_d"].eqNullSafe(b["_d"]) & (a["_t"] == b["_t"])
+    rows = docs.select("*", *keys)
+    gone = join.surplus().select(F.col("d").alias("_d"), F.col("t").alias("_t"))
+    kept = rows.join(gone, same(rows, gone), "left_anti")
+    again = join.rows.where("n > 0").groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    if not again.isEmpty():
+        again = stored(again)
+        one = kept.join(again, same(kept, again), "left_semi").dropDuplicates(["_d", "_t"])
+        kept = kept.join(again, same(kept, again), "left_anti").union(one)
+    return kept.select(*docs.columns)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import stored
+from lexmill.llm.common import forget, stored
 
 LINE = "\n"
 WORDS = 50  #: a run of so many words goes even if it has fewer lines than the window
@@ -115,15 +115,19 @@ def repeated_runs(rows: DataFrame, window: int = 3) -> DataFrame:
     in other company lead nowhere else. Matches are followed along the shift between both places, and runs of
     `window` lines or more are returned, as are shorter ones of WORDS words or more and whole short documents. First places come from a minimum that is pre-aggregated in each task, and
     every other place joins this one only: a run that a third of all documents share makes a row for each
-    document, never pairs of them. Places within one document count too.
+    document, never pairs of them. Places within one document count too. The result is stored.
     """
     prints = stored(rows.mapInArrow(_fingerprints(window), "key long, d long, h long, at long"))
     first = prints.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "at")).alias("p")).where("n > 1").drop("n")
     here = F.struct("d", "h", "at")
     matched = prints.join(first, "key").where(here > F.col("p")).groupBy("d", "h", F.col("p.d").alias("d0"), F.col("p.h").alias("h0")).agg(F.collect_set((F.col("at") - F.col("p.at")).cast("int")).alias("shifts"))
-    later = rows.withColumnRenamed("hashes", "a").join(stored(matched), ["d", "h"])
+    matched = stored(matched)
+    forget(prints)
+    later = rows.withColumnRenamed("hashes", "a").join(matched, ["d", "h"])
     both = later.join(rows.select(F.col("d").alias("d0"), F.col("h").alias("h0"), F.col("hashes").alias("b")), ["d0", "h0"])
-    return both.select("d", "h", "shifts", "a", "b", "n_words").mapInArrow(_extend(window), "d long, h long, start long, end long")
+    out = stored(both.select("d", "h", "shifts", "a", "b", "n_words").mapInArrow(_extend(window), "d long, h long, start long, end long").distinct())
+    forget(matched)
+    return out
 
 
 def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
@@ -138,7 +142,9 @@ def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(*kept, F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_d"), F.xxhash64("text").alias("_h"))
     rows = stored(keyed.select(F.col("_d").alias("d"), F.col("_h").alias("h"), line_hashes(F.col("text")).alias("hashes"), line_words(F.col("text")).alias("n_words")).where((F.size("hashes") >= window) | F.exists("n_words", lambda n: n > 0)).dropDuplicates(["d", "h"]))
-    runs = repeated_runs(rows, window).distinct().groupBy(F.col("d").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("start", "end")).alias("_runs"))
+    found = repeated_runs(rows, window)
+    forget(rows)
+    runs = found.groupBy(F.col("d").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("start", "end")).alias("_runs"))
     lines = F.split("text", LINE)
     left = F.filter(lines, lambda x, i: ~F.exists("_runs", lambda r: (i >= r["start"]) & (i < r["end"])))
     out = keyed.join(runs, ["_d", "_h"], "left").withColumn("_left", F.when(F.col("_runs").isNotNull(), left))
