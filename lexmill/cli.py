@@ -31,7 +31,7 @@ def build(spark: SparkSession, corpus: str, out: str, nltk: bool = False, binary
 
 
 def answer(engine: BooleanEngine, line: str) -> list[int]:
-    return sorted(r.doc_id for r in engine.query(line).collect())
+    return [r.doc_id for r in engine.query(line).orderBy("doc_id").toLocalIterator()]
 
 
 def interactive(engine: BooleanEngine, lines, out=sys.stdout) -> None:

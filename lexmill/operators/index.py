@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,10 +44,17 @@ def normalized(docs: DataFrame, nltk: bool = False) -> DataFrame:
 
 
 def posting_lists(index: DataFrame) -> DataFrame:
-    """(term, df, doc_ids): sorted lists. A list is as long as its term is frequent; use postings for queries."""
+    """(term, df, doc_ids): sorted lists. A list is as long as its term is frequent; use postings for queries, and
+    posting_blocks() where a list may be too long for one row."""
     return index.groupBy("term").agg(F.count("*").alias("df"), F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
 
 
+def posting_blocks(index: DataFrame, docs_a_block: int = 1 << 20) -> DataFrame:
+    """(term, block, df, doc_ids): lists cut by ranges of doc_ids, so that no row has more than docs_a_block of them."""
+    block = F.floor(F.col("doc_id") / docs_a_block).alias("block")
+    return index.groupBy("term", block).agg(F.count("*").alias("df"), F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
+
+
 def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
@@ -62,19 +71,49 @@ def write_index(index: DataFrame, path: str, shards: int | None = None) -> None:
     (out.partitionBy("shard") if shards else out).parquet(path)
 
 
-def assign_doc_ids(files: DataFrame, offset: int = 0) -> DataFrame:
-    """files(path, ...) with doc_id: offset plus the rank of path as a string. Numbers come from per-partition counts
-    over a range partition, so no task sees all rows."""
+@dataclass(frozen=True)
+class StoredIndex:
+    """An index in a folder: tf(term, doc_id, tf) sorted by term, and documents(doc_id, len) with the number of terms of
+    each document that has any (the universe)."""
+
+    tf: DataFrame
+    documents: DataFrame
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.tf.select("term", "doc_id")
+
+    @property
+    def universe(self) -> DataFrame:
+        return self.documents.select("doc_id")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> StoredIndex:
+        return cls(spark.read.parquet(f"{path}/tf"), spark.read.parquet(f"{path}/documents"))
+
+
+def store_index(docs: DataFrame, path: str, nltk: bool = False) -> StoredIndex:
+    """Builds the index of docs(doc_id, text) once and writes it; queries then read what row-group statistics leave of it."""
+    term_frequencies(docs, nltk).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/tf")
+    tf = docs.sparkSession.read.parquet(f"{path}/tf")
+    tf.groupBy("doc_id").agg(F.sum("tf").alias("len")).write.mode("overwrite").parquet(f"{path}/documents")
+    return StoredIndex.open(docs.sparkSession, path)
+
+
+def assign_doc_ids(files: DataFrame, path: str, offset: int = 0) -> DataFrame:
+    """files(path, ...) with doc_id: offset plus the rank of path as a string.
+
+    Rows are written to the folder `path` in ranges of files' path first, so that the counts of the ranges and the numbers
+    within them come from the same rows, whatever is read of them. No task sees all rows.
+    """
     spark = files.sparkSession
-    ranged = files.repartitionByRange("path").sortWithinPartitions("path").withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("path")) - 1)
-    before, total = {}, offset
-    for p, n in sorted((r["_p"], r["count"]) for r in ranged.groupBy("_p").count().collect()):  # one row a partition
-        before[p], total = total, total + n
-    if not before:
-        return ranged.withColumn("doc_id", F.lit(None).cast("long")).drop("_p", "_n")
-    starts = spark.createDataFrame(list(before.items()), "_p int, _start long")
-    return ranged.join(F.broadcast(starts), "_p").withColumn("doc_id", F.col("_start") + F.col("_n")).drop("_p", "_n", "_start")
+    ranged = files.repartitionByRange("path").sortWithinPartitions("path")
+    ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
+    rows = spark.read.parquet(path)
+    counts = rows.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("first"))  # one row a range
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    starts = counts.select("_part", (before + offset - F.col("first")).alias("_start"))
+    return rows.join(F.broadcast(starts), "_part").withColumn("doc_id", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
 
 
 def shard_of(doc_id: Column, total: Column, shards: int) -> Column:
@@ -95,16 +134,17 @@ def shard_catalog(sharded: DataFrame) -> DataFrame:
 def tfidf(tf: DataFrame, terms: list[str], n_docs: int) -> DataFrame:
     """(doc_id, score): the sum of tf * ln(N / df) over the terms."""
     chosen = tf.where(F.col("term").isin(*terms))
-    df = chosen.groupBy("term").agg(F.count("*").alias("df"))
+    df = chosen.groupBy("term").agg(F.count("*").alias("df"))  # a row a term asked for
     return chosen.join(F.broadcast(df), "term").groupBy("doc_id").agg(F.sum(F.col("tf") * F.log(F.lit(float(n_docs)) / F.col("df"))).alias("score"))
 
 
-def bm25(tf: DataFrame, terms: list[str], n_docs: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(doc_id, score): Okapi BM25 over the terms; a document's length is the sum of its term frequencies."""
-    length = tf.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    mean = length.agg(F.avg("len")).first()[0] or 1.0
+def bm25(tf: DataFrame, terms: list[str], n_docs: int, k1: float = 1.2, b: float = 0.75, lengths: DataFrame | None = None) -> DataFrame:
+    """(doc_id, score): Okapi BM25 over the terms; a document's length, lengths(doc_id, len), is the sum of its term
+    frequencies, worked out of tf unless it is given."""
+    lengths = tf.groupBy("doc_id").agg(F.sum("tf").alias("len")) if lengths is None else lengths
+    mean = float(lengths.agg(F.avg("len")).first()[0] or 1.0)
     chosen = tf.where(F.col("term").isin(*terms))
-    df = chosen.groupBy("term").agg(F.count("*").alias("df"))
+    df = chosen.groupBy("term").agg(F.count("*").alias("df"))  # a row a term asked for
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(mean))))
-    return chosen.join(F.broadcast(df), "term").join(length, "doc_id").groupBy("doc_id").agg(F.sum(idf * part).alias("score"))
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean)))
+    return chosen.join(F.broadcast(df), "term").join(lengths, "doc_id").groupBy("doc_id").agg(F.sum(idf * part).alias("score"))

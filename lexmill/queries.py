@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,7 @@ from lexmill.oracle import GAPS, INDEX, STEMS, STOPS, TF, has, indexed
 from lexmill.plans.boolean import BooleanEngine, batch, formatted, one_scan, relational
 from lexmill.sources.binary_index import export_index, import_index
 from lexmill.sources.results import latest_results
+from lexmill.sources.scratch import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,6 +45,23 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.postings(docs(spark, sf_dir))
 
 
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def held(spark: SparkSession, sf_dir: str) -> ix.StoredIndex:
+    """The stored index of documents, built by the first query of an application that needs it; the others open it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        path = fresh_path(spark)
+        ix.store_index(docs(spark, sf_dir), path)
+        _BUILT[key] = path
+    return ix.StoredIndex.open(spark, _BUILT[key])
+
+
+def engine(spark: SparkSession, sf_dir: str) -> BooleanEngine:
+    return BooleanEngine.on(held(spark, sf_dir))
+
+
 # --- sources and sinks ---
 
 
@@ -60,7 +77,7 @@ def read_documents(spark, d):
 
 @register("SELECT 'page_' || doc_id || '.txt' AS path, 500 + row_number() OVER (ORDER BY 'page_' || doc_id || '.txt' COLLATE C) - 1 AS doc_id FROM documents".replace(" COLLATE C", ""))
 def assign_doc_ids(spark, d):
-    return ix.assign_doc_ids(corpus_listing(spark, d).select("path"), 500).select("path", "doc_id")
+    return ix.assign_doc_ids(corpus_listing(spark, d).select("path"), fresh_path(spark), 500).select("path", "doc_id")
 
 
 @register(indexed("SELECT term, doc_id FROM postings"))
@@ -70,8 +87,7 @@ def build_index(spark, d):
 
 @register(indexed("SELECT term, doc_id FROM postings"))
 def index_sorted(spark, d):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{shared}/lexmill-index-{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     ix.write_index(index(spark, d), path)
     return spark.read.parquet(path).select("term", "doc_id")
 
@@ -81,20 +97,14 @@ def term_crc32(spark, d):
     return ix.document_frequency(index(spark, d)).select("term", F.crc32(F.col("term").cast("binary")).alias("crc"))
 
 
-@register()
+@register(indexed("SELECT term, doc_id FROM postings"))
 def binary_roundtrip(spark, d):
-    """Export to one file on the driver and import; a driver-local file, so for tests and small indexes."""
-    import os
-    import shutil
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    local = tempfile.mkdtemp()
-    export_index(ix.posting_lists(index(spark, d)), f"{local}/index.bin")
-    where = f"{local}/index.bin"
-    if shared:
-        where = f"{shared.removeprefix('file://')}/lexmill-{uuid.uuid4().hex}.bin"
-        os.makedirs(os.path.dirname(where), exist_ok=True)
-        shutil.copy(f"{local}/index.bin", where)
+    """Export to one file on the driver, copy to the shared folder and import."""
+    where = f"{fresh_path(spark)}.bin"
+    with tempfile.TemporaryDirectory() as local:
+        export_index(ix.posting_lists(held(spark, d).postings), f"{local}/index.bin")
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        path(where).getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(path(f"file://{local}/index.bin"), path(where))
     return import_index(spark, where, verify=True).select("term", F.explode("doc_ids").alias("doc_id"))
 
 
@@ -189,12 +199,12 @@ def query_tokens(spark, d):
 
 @register(indexed("SELECT term, pos, gap FROM gaps", GAPS))
 def posting_gaps(spark, d):
-    return codec.gaps(index(spark, d))
+    return codec.gaps(held(spark, d).postings)
 
 
 @register(indexed("SELECT term, doc_id FROM postings"))
 def gap_cumsum(spark, d):
-    return codec.ungapped(codec.gaps(index(spark, d)))
+    return codec.ungapped(codec.gaps(held(spark, d).postings))
 
 
 _BYTES = "CASE WHEN gap < 128 THEN 1 WHEN gap < 16384 THEN 2 WHEN gap < 2097152 THEN 3 WHEN gap < 268435456 THEN 4 ELSE 5 END"
@@ -203,24 +213,24 @@ _HEX = "CASE WHEN gap < 128 THEN printf('%02X', gap + 128) WHEN gap < 16384 THEN
 
 @register(indexed(f"SELECT term, count(*) AS df, string_agg({_HEX}, '' ORDER BY pos) AS payload FROM gaps GROUP BY term", GAPS))
 def vbyte_encode(spark, d):
-    return ix.posting_lists(index(spark, d)).select("term", "df", F.hex(codec.vbyte(codec.gap_list(F.col("doc_ids")))).alias("payload"))
+    return ix.posting_lists(held(spark, d).postings).select("term", "df", F.hex(codec.vbyte(codec.gap_list(F.col("doc_ids")))).alias("payload"))
 
 
 @register(indexed("SELECT term, doc_id FROM postings"))
 def vbyte_roundtrip(spark, d):
-    coded = ix.posting_lists(index(spark, d)).select("term", codec.vbyte(codec.gap_list(F.col("doc_ids"))).alias("payload"))
+    coded = ix.posting_lists(held(spark, d).postings).select("term", codec.vbyte(codec.gap_list(F.col("doc_ids"))).alias("payload"))
     back = coded.select("term", F.posexplode(codec.unvbyte(F.col("payload"))).alias("pos", "gap"))
     return codec.ungapped(back)
 
 
-@register("SELECT CAST(NULL AS VARCHAR) AS term, CAST(NULL AS BIGINT) AS df WHERE false")
+@register(indexed("SELECT p.term, df.df FROM (SELECT term, list(DISTINCT doc_id) AS doc_ids FROM postings GROUP BY term) AS p JOIN df USING (term) WHERE len(p.doc_ids) <> df.df"))
 def df_mismatch(spark, d):
-    return ix.posting_lists(index(spark, d)).where(F.size("doc_ids") != F.col("df")).select("term", "df")
+    return ix.posting_lists(held(spark, d).postings).where(F.size("doc_ids") != F.col("df")).select("term", "df")
 
 
 @register(indexed(f"SELECT term, CAST(sum({_BYTES}) AS BIGINT) AS n_bytes FROM gaps GROUP BY term", GAPS))
 def posting_bytes(spark, d):
-    return codec.gaps(index(spark, d)).groupBy("term").agg(F.sum(codec.byte_count(F.col("gap"))).alias("n_bytes"))
+    return codec.gaps(held(spark, d).postings).groupBy("term").agg(F.sum(codec.byte_count(F.col("gap"))).alias("n_bytes"))
 
 
 # --- aggregations ---
@@ -233,37 +243,42 @@ def postings(spark, d):
 
 @register(indexed("SELECT term, count(*) AS df, string_agg(doc_id, ',' ORDER BY doc_id) AS doc_ids FROM postings GROUP BY term"))
 def posting_lists(spark, d):
-    return ix.posting_lists(index(spark, d)).withColumn("doc_ids", F.array_join("doc_ids", ","))
+    return ix.posting_lists(held(spark, d).postings).withColumn("doc_ids", F.array_join("doc_ids", ","))
+
+
+@register(indexed("SELECT term, doc_id // 256 AS block, count(*) AS df, string_agg(doc_id, ',' ORDER BY doc_id) AS doc_ids FROM postings GROUP BY ALL"))
+def posting_blocks(spark, d):
+    return ix.posting_blocks(held(spark, d).postings, 256).withColumn("doc_ids", F.array_join("doc_ids", ","))
 
 
 @register(indexed("SELECT term, df FROM df"))
 def doc_frequency(spark, d):
-    return ix.document_frequency(index(spark, d))
+    return ix.document_frequency(held(spark, d).postings)
 
 
 @register(indexed("SELECT count(*) AS num_terms FROM df"))
 def vocab_size(spark, d):
-    return index(spark, d).agg(F.countDistinct("term").alias("num_terms"))
+    return held(spark, d).postings.agg(F.countDistinct("term").alias("num_terms"))
 
 
 @register(indexed("SELECT doc_id FROM universe"))
 def universe(spark, d):
-    return ix.universe(index(spark, d))
+    return held(spark, d).universe
 
 
 @register(indexed("SELECT min(df) AS min_df, list_sort(list(df))[count(*) // 2 + 1] AS median_df, max(df) AS max_df, round(avg(df), 6) AS mean_df FROM df"))
 def posting_length_stats(spark, d):
-    return stats.posting_length_stats(ix.document_frequency(index(spark, d)))
+    return stats.posting_length_stats(ix.document_frequency(held(spark, d).postings))
 
 
 @register(indexed("SELECT round(avg(CASE WHEN df <= 3 THEN 1.0 ELSE 0.0 END) * 100, 6) AS rare_pct, avg(CASE WHEN df <= 3 THEN 1.0 ELSE 0.0 END) * 100 >= 50 AS passed FROM df"))
 def rare_term_share(spark, d):
-    return stats.rare_term_share(ix.document_frequency(index(spark, d)))
+    return stats.rare_term_share(ix.document_frequency(held(spark, d).postings))
 
 
 @register(indexed("SELECT term, df FROM df WHERE df > (SELECT count(*) FROM documents) // 2"))
 def high_freq_terms(spark, d):
-    return stats.high_frequency_terms(ix.document_frequency(index(spark, d)), docs(spark, d).count())
+    return stats.high_frequency_terms(ix.document_frequency(held(spark, d).postings), docs(spark, d).count())
 
 
 _STATS = "count({v}) AS n, round(avg({v}), 4) AS mean_ms, round(quantile_cont({v}, 0.5), 4) AS median_ms, round(quantile_cont({v}, 0.95), 4) AS p95_ms, round(quantile_cont({v}, 0.99), 4) AS p99_ms, round(min({v}), 4) AS min_ms, round(max({v}), 4) AS max_ms"
@@ -289,7 +304,7 @@ def combined_stats(spark, d):
 
 
 def _query(name: str, query: str, sql: str, infix: bool = False) -> None:
-    register(indexed(sql), name)(lambda spark, d: BooleanEngine(index(spark, d)).query(query, infix))
+    register(indexed(sql), name)(lambda spark, d: engine(spark, d).query(query, infix))
 
 
 _AND, _OR, _U = " INTERSECT ", " UNION ", "SELECT doc_id FROM universe"
@@ -318,7 +333,7 @@ _BATCH = " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS query_id, doc_id FRO
 
 @register(indexed(_BATCH))
 def q_batch(spark, d):
-    return BooleanEngine(index(spark, d)).run_queries(BATCH)[0]
+    return engine(spark, d).run_queries(BATCH)[0]
 
 
 @register(indexed(f"SELECT query_id, string_agg(doc_id, ' ' ORDER BY doc_id) AS result FROM ({_BATCH}) GROUP BY query_id"))
@@ -328,23 +343,23 @@ def format_results(spark, d):
 
 @register(indexed(f"({has('en')}{_OR}{has('thtion')}) EXCEPT {has('er')}"))
 def q_relational(spark, d):
-    engine = BooleanEngine(index(spark, d))
-    return relational(engine.index, engine.parse("en thtion \\or er \\not \\and"))
+    found = engine(spark, d)
+    return relational(found.index, found.parse("en thtion \\or er \\not \\and"), found.universe)
 
 
 @register(indexed(f"{has('en')}{_AND}{has('er')}"))
 def flagship(spark, d):
-    return BooleanEngine(index(spark, d)).query("en er \\and")
+    return engine(spark, d).query("en er \\and")
 
 
 @register(indexed(f"({_U} EXCEPT {has('en')}){_OR}{has('thtion')}"))
 def q_sharded(spark, d):
     """Each shard answers from its own universe; the union is the answer. One plan does it, keyed by shard."""
-    sharded = index(spark, d).join(ix.with_shards(docs(spark, d).select("doc_id"), 4), "doc_id")
-    engine = BooleanEngine(sharded)
-    tree = engine.parse("en \\not thtion \\or")
-    parts = [one_scan(sharded.where(F.col("shard") == k).select("term", "doc_id"), tree) for k in range(4)]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    stored, n = held(spark, d), docs(spark, d).count()
+    shard = ix.shard_of(F.col("doc_id"), F.lit(n), 4).alias("shard")
+    program = engine(spark, d).parse("en \\not thtion \\or")
+    answers = one_scan(stored.postings.select("term", "doc_id", shard), program, stored.universe.select("doc_id", shard), ("shard", "doc_id"))
+    return answers.select("doc_id")
 
 
 @register("SELECT doc_id, least(doc_id // greatest(1, (SELECT count(*) FROM documents) // 4), 3) AS shard FROM documents")
@@ -354,7 +369,7 @@ def shard_assign(spark, d):
 
 @register(indexed("SELECT DISTINCT term, least(doc_id // greatest(1, (SELECT count(*) FROM documents) // 4), 3) AS shard FROM postings"))
 def shard_catalog(spark, d):
-    return ix.shard_catalog(index(spark, d).join(ix.with_shards(docs(spark, d).select("doc_id"), 4), "doc_id"))
+    return ix.shard_catalog(held(spark, d).postings.join(ix.with_shards(docs(spark, d).select("doc_id"), 4), "doc_id"))
 
 
 RANKED = ["thtion", "attion", "ertion"]
@@ -367,12 +382,13 @@ def _top(scored: DataFrame, k: int = 10) -> DataFrame:
 
 @register(f"WITH {TF}, {_CHOSEN} SELECT doc_id, round(sum(tf * ln((SELECT count(*) FROM documents) / df)), 6) AS score FROM chosen JOIN cdf USING (term) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10")
 def tfidf_topk(spark, d):
-    return _top(ix.tfidf(ix.term_frequencies(docs(spark, d)), RANKED, docs(spark, d).count()))
+    return _top(ix.tfidf(held(spark, d).tf, RANKED, docs(spark, d).count()))
 
 
 @register(f"WITH {TF}, {_CHOSEN} SELECT doc_id, round(sum(ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (SELECT avg(len) FROM lens)))), 6) AS score FROM chosen JOIN cdf USING (term) JOIN lens USING (doc_id) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_topk(spark, d):
-    return _top(ix.bm25(ix.term_frequencies(docs(spark, d)), RANKED, docs(spark, d).count()))
+    stored = held(spark, d)
+    return _top(ix.bm25(stored.tf, RANKED, docs(spark, d).count(), lengths=stored.documents))
 
 
 # --- checks ---
@@ -384,14 +400,14 @@ def chk_doc_count(spark, d):
     return docs(spark, d).agg(n.alias("n_docs"), ids.alias("n_ids"), (n == ids).alias("dense"))
 
 
-@register("SELECT 0::BIGINT AS unsorted, 0::BIGINT AS repeated, 0::BIGINT AS negative, 0::BIGINT AS too_large, 0::BIGINT AS df_mismatch")
+@register(indexed("SELECT count(*) FILTER (WHERE l <> list_sort(l)) AS unsorted, count(*) FILTER (WHERE len(l) <> len(list_distinct(l))) AS repeated, count(*) FILTER (WHERE list_min(l) < 0) AS negative, count(*) FILTER (WHERE list_max(l) >= (SELECT count(*) FROM documents)) AS too_large, count(*) FILTER (WHERE len(l) <> df.df) AS df_mismatch FROM (SELECT term, list(doc_id ORDER BY doc_id) AS l FROM postings GROUP BY term) JOIN df USING (term)"))
 def chk_posting_invariants(spark, d):
-    return stats.posting_invariants(ix.posting_lists(index(spark, d)), docs(spark, d).count())
+    return stats.posting_invariants(ix.posting_lists(held(spark, d).postings), docs(spark, d).count())
 
 
 @register(indexed("SELECT count(*) FILTER (WHERE term = '') AS empty_terms, count(*) FILTER (WHERE term IN ('the', 'a', 'an', 'is', 'in', 'of', 'and', 'to', 'it', 'for')) AS stop_words FROM postings"))
 def chk_stopwords_absent(spark, d):
-    return index(spark, d).agg(F.count_if(F.col("term") == "").alias("empty_terms"), F.count_if(F.col("term").isin(*"the a an is in of and to it for".split())).alias("stop_words"))
+    return held(spark, d).postings.agg(F.count_if(F.col("term") == "").alias("empty_terms"), F.count_if(F.col("term").isin(*"the a an is in of and to it for".split())).alias("stop_words"))
 
 
 EXPECTED = [("en", 2), ("er", 2), ("thtion", 1), ("zzzunknown", 1)]
@@ -400,21 +416,21 @@ EXPECTED = [("en", 2), ("er", 2), ("thtion", 1), ("zzzunknown", 1)]
 @register(indexed("SELECT e.term, e.least, coalesce(df.df, 0) AS df, coalesce(df.df, 0) >= e.least AS ok FROM (VALUES " + ", ".join(f"('{t}', CAST({n} AS BIGINT))" for t, n in EXPECTED) + ") AS e(term, least) LEFT JOIN df USING (term)"))
 def chk_expected_terms(spark, d):
     expected = spark.createDataFrame(EXPECTED, "term string, least long")
-    found = ix.document_frequency(index(spark, d).where(F.col("term").isin(*[t for t, _ in EXPECTED])))
+    found = ix.document_frequency(held(spark, d).postings.where(F.col("term").isin(*[t for t, _ in EXPECTED])))
     return expected.join(found, "term", "left").select("term", "least", F.coalesce("df", F.lit(0)).alias("df"), (F.coalesce("df", F.lit(0)) >= F.col("least")).alias("ok"))
 
 
 @register(indexed("SELECT term, df FROM df WHERE df BETWEEN 3 AND 20 ORDER BY df DESC, term LIMIT 2"))
 def topk_mid_freq_terms(spark, d):
-    return stats.mid_frequency_terms(ix.document_frequency(index(spark, d)))
+    return stats.mid_frequency_terms(ix.document_frequency(held(spark, d).postings))
 
 
 @register(indexed(f"SELECT 'x' AS side, count(*) AS n FROM ({has('en')}) UNION ALL SELECT 'not x', count(*) FROM ({_U} EXCEPT {has('en')}) UNION ALL SELECT 'both', 0 UNION ALL SELECT 'either', count(*) FROM universe"))
 def chk_complement(spark, d):
-    engine = BooleanEngine(index(spark, d))
+    found = engine(spark, d)
     sides = {"x": "en", "not x": "en \\not", "both": "en en \\not \\and", "either": "en en \\not \\or"}
-    found = batch(engine.index, {k: engine.parse(q) for k, q in enumerate(sides.values())})
-    counts = found.groupBy("query_id").agg(F.count("*").alias("n"))
+    answers = batch(found.index, {k: found.parse(q) for k, q in enumerate(sides.values())}, found.universe)
+    counts = answers.groupBy("query_id").agg(F.count("*").alias("n"))
     names = spark.createDataFrame(list(enumerate(sides)), "query_id long, side string")
     return names.join(counts, "query_id", "left").select("side", F.coalesce("n", F.lit(0)).alias("n"))
 

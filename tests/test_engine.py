@@ -9,7 +9,7 @@ from lexmill.functions import codec
 from lexmill.operators import index as ix
 from lexmill.operators import stats
 from lexmill.plans import boolean as b
-from lexmill.sources import binary_index, corpus
+from lexmill.sources import binary_index, corpus, results
 
 INDEX = {"alpha": [1, 3, 6], "beta": [3, 9]}
 CASES = [
@@ -55,7 +55,7 @@ def test_wrong_queries(query):
 def test_arity():
     for operator, n in (("\\and", 1), ("\\or", 3), ("\\not", 2), ("\\xor", 2)):
         with pytest.raises(ValueError):
-            b.apply(operator, [b.Term("a")] * n)
+            b.checked(operator, n)
 
 
 def test_infix(index):
@@ -101,9 +101,86 @@ def test_order_of_files_and_bad_utf8(spark, tmp_path):
         corpus.read_corpus(spark, str(tmp_path)).collect()
 
 
-def test_assigned_ids(spark):
+def test_assigned_ids(spark, tmp_path):
     files = spark.createDataFrame([(x,) for x in ("10", "2", "1", "20")], "path string")
-    assert {r.path: r.doc_id for r in ix.assign_doc_ids(files, 7).collect()} == {"1": 7, "10": 8, "2": 9, "20": 10}
+    assert {r.path: r.doc_id for r in ix.assign_doc_ids(files, str(tmp_path / "a"), 7).collect()} == {"1": 7, "10": 8, "2": 9, "20": 10}
+    assert ix.assign_doc_ids(files.limit(0), str(tmp_path / "b")).count() == 0
+
+
+def test_assigned_ids_of_a_wide_table(spark, tmp_path):
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        files = spark.range(20_000).select(F.concat(F.lit("f"), F.lpad("id", 6, "0")).alias("path"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 150).alias("text"))
+        numbered = ix.assign_doc_ids(files, str(tmp_path / "a"), 5)
+        assert numbered.columns == ["path", "text", "doc_id"]
+        got = numbered.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"), F.count_if(F.col("doc_id") != F.substring("path", 2, 6).cast("long") + 5).alias("wrong")).first()
+        assert tuple(got) == (20_000, 20_000, 0) and numbered.where("length(text) != 19200").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+
+
+def test_deep_and_wide_queries(index):
+    engine = b.BooleanEngine(index)
+    assert ids(engine.query("alpha" + " \\not" * 4000)) == [1, 3, 6]
+    many = " ".join(f"t{k} \\or" for k in range(200))
+    assert ids(engine.query(f"alpha {many}")) == [1, 3, 6] and ids(engine.query(f"alpha {many} beta \\and")) == [3]
+    right = " ".join(f"t{k}" for k in range(200)) + " alpha" + " \\or" * 200  # a chain that nests to the right
+    assert ids(engine.query(right)) == [1, 3, 6] and max(map(len, [b.steps_of(engine.parse(right))])) == 401
+    found, _ = engine.run_queries([f"alpha {many}", right, f"alpha {many} \\not", "beta"])
+    got = sorted((r.query_id, r.doc_id) for r in found.collect())
+    assert got == [(0, 1), (0, 3), (0, 6), (1, 1), (1, 3), (1, 6), (2, 9), (3, 3), (3, 9)]
+    assert b.parse_infix("(" * 3000 + "alpha" + ")" * 3000) == ("alpha",)
+
+
+def test_gaps_in_blocks(spark):
+    lists = {"a": [0, 3, 4, 9, 17, 40], "b": [5], "c": [8, 16, 24]}
+    index = spark.createDataFrame([(t, d) for t, x in lists.items() for d in x], "term string, doc_id long")
+    coded = codec.gaps(index, 8)
+    got = {}
+    for r in sorted(coded.collect()):
+        got.setdefault(r.term, []).append((r.pos, r.gap))
+    assert got == {t: list(enumerate(y - x for x, y in zip([0, *ids], ids))) for t, ids in lists.items()}
+    assert sorted(map(tuple, codec.ungapped(coded, 2).collect())) == sorted(map(tuple, index.collect()))
+    blocks = sorted((r.term, r.block, r.df, r.doc_ids) for r in ix.posting_blocks(index, 8).collect())
+    assert blocks[0] == ("a", 0, 3, [0, 3, 4]) and sum(x[2] for x in blocks) == 10
+
+
+def test_stored_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "beta"), (3, ""), (4, None)], "doc_id long, text string")
+    stored = ix.store_index(docs, str(tmp_path / "index"))
+    assert sorted(map(tuple, stored.tf.collect())) == [("alpha", 1, 1), ("beta", 1, 2), ("beta", 2, 1)]
+    assert sorted(map(tuple, stored.documents.collect())) == [(1, 3), (2, 1)]
+    assert ids(b.BooleanEngine.on(stored).query("alpha \\not")) == [2]
+    plan = b.BooleanEngine.on(stored).query("alpha")._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(term, [alpha])]" in plan or "EqualTo(term,alpha)" in plan
+
+
+def test_query_files(spark, tmp_path):
+    path = tmp_path / "queries.txt"
+    path.write_text("# comment\n\n  alpha \n beta alpha \\and\n")
+    assert corpus.query_list(str(path)) == ["alpha", "beta alpha \\and"]
+    assert sorted(r.query for r in corpus.load_queries(spark, str(path)).collect()) == ["alpha", "beta alpha \\and"]
+    path.write_text("# nothing\n")
+    with pytest.raises(ValueError):
+        corpus.query_list(str(path))
+
+
+def test_remote_corpus(spark, tmp_path):
+    (tmp_path / "a").write_text("alpha")
+    (tmp_path / "b").write_text("")
+    got = {os.path.basename(r.path): r.text for r in corpus.read_remote_corpus(spark, str(tmp_path)).collect()}
+    assert got["a"] == "alpha"
+
+
+def test_result_files(spark, tmp_path):
+    rows = spark.createDataFrame([("short", 1.5)], "category string, mean_ms double")
+    results.write_results(rows, str(tmp_path / "out"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "out")).select("category", "mean_ms").collect()] == [("short", 1.5)]
+    folder = tmp_path / "results"
+    folder.mkdir()
+    for name, n in (("init_20260101_000000", 1), ("init_20260102_000000", 2), ("query_short_20260101_000000", 3)):
+        (folder / f"{name}.json").write_text('{"n": %d}' % n)
+    assert {r.kind: r.n for r in results.read_results(spark, str(folder)).collect()} == {"init": 2, "query_short": 3}
 
 
 def test_binary_index(spark, index, tmp_path):
