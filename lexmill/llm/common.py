@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 import numpy as np
@@ -13,30 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.sources.scratch import fresh_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or what setCheckpointDir() has set.
-
-    Where neither is set, a temporary folder serves a session of one process (master local[...]); on a cluster it is a
-    RuntimeError.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise RuntimeError("steps are written to spark.checkpoint.dir, which isn't set")
-    path = tempfile.mkdtemp(prefix="lexmill-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
 @contextmanager
 def setting(spark: SparkSession, name: str, value):
     """Within it, a setting of the session has another value."""
@@ -54,7 +34,7 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     The shuffle files of the write are deleted with its end, so that only stored steps take disk space.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lexmill-{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -82,8 +62,8 @@ def within(df: DataFrame, rows: int) -> DataFrame:
 
 
 def fold(doc_id: str = "doc_id"):
-    """The fold 0 to 3 of a document; 2 is held out."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
+    """The fold 0 to 3 of a document; 2 is held out. A null doc_id is in fold -1."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4, F.lit(-1))
 
 
 # --- hashing of words over Arrow buffers ---------------------------------------------------------
@@ -168,9 +148,8 @@ def sequence_hash(h: np.ndarray) -> int:
 
 
 def blocks_of(batch: pa.RecordBatch, column: str, most: int = 1 << 19):
-    """Slices of a batch whose texts have about `most` bytes each, at least one row; bounds what numpy holds."""
-    sizes = batch.column(column).cast(pa.large_string())
-    at = np.cumsum(pc.binary_length(sizes).fill_null(0).to_numpy(zero_copy_only=False))
+    """Slices of a batch whose texts (or binary values) have about `most` bytes each, at least one row; bounds what numpy holds."""
+    at = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < batch.num_rows:
         base = at[start - 1] if start else 0

@@ -73,9 +73,13 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids, self.words, rows = [], [], []
+        #: items of fewer than N words: their hashes -> item_ids
+        self.short: dict[tuple[int, ...], list[int]] = {}
         for item_id, text in items:
             h, *_ = words(*utf8(pa.array([text])))
-            if not len(h):
+            if len(h) < N:
+                if len(h):
+                    self.short.setdefault(tuple(h.tolist()), []).append(item_id)
                 continue
             self.ids.append(item_id)
             self.words.append(h)
@@ -89,11 +93,11 @@ class Items:
     def keep_rare(self, counts: np.ndarray, share: float) -> None:
         """Keeps of each item the `share` of its grams that the corpus has least (8 at least)."""
         n = counts[np.searchsorted(self.seeds, self.gram)]
+        order = np.lexsort((self.place, n, self.item))
+        size = np.bincount(self.item, minlength=len(self.ids))
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
         keep = np.zeros(len(self.gram), bool)
-        for k in range(len(self.ids)):
-            at = np.flatnonzero(self.item == k)
-            order = np.lexsort((self.place[at], n[at]))
-            keep[at[order[: max(8, int(np.ceil(share * len(at))))]]] = True
+        keep[order[rank < np.maximum(8, np.ceil(share * size))[self.item[order]]]] = True
         self.gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
         self.seeds = np.unique(self.gram)
 
@@ -162,6 +166,7 @@ def _find(spark, docs: DataFrame, items: Items, threshold: float, rare: float, s
                 seed, at, (h, rows) = hits(part.column("text"), items.seeds)
                 row = np.searchsorted(rows, at, "right") - 1
                 found = items.candidates(row, at - rows[row], items.seeds[seed]) if len(at) else np.zeros((0, 3), np.int64)
+                short: list[tuple[int, int, float, int, int]] = []
                 best: dict[tuple[int, int], tuple[float, int, int]] = {}
                 for row, item, step in found.tolist():
                     target = items.words[item]
@@ -172,10 +177,14 @@ def _find(spark, docs: DataFrame, items: Items, threshold: float, rare: float, s
                     value = (score / (MATCH * m), a + first, a + last)
                     if value[0] >= threshold and value > best.get((row, item), (0.0, 0, 0)):
                         best[row, item] = value
+                for row in np.flatnonzero(np.diff(rows) < N).tolist() if items.short else ():
+                    for item_id in items.short.get(tuple(h[rows[row] : rows[row + 1]].tolist()), ()):
+                        short.append((row, item_id, 1.0, 0, int(rows[row + 1] - rows[row])))
                 keys = sorted(best)
-                owner = pa.array([k[0] for k in keys], pa.int64())
-                columns = [part.column("doc_id").take(owner), pa.array([items.ids[k[1]] for k in keys], pa.int64())]
-                columns += [pa.array([best[k][j] for k in keys], kind) for j, kind in enumerate((pa.float64(), pa.int64(), pa.int64()))]
+                leaks = [(k[0], items.ids[k[1]], *best[k]) for k in keys] + short
+                owner = pa.array([x[0] for x in leaks], pa.int64())
+                columns = [part.column("doc_id").take(owner)]
+                columns += [pa.array([x[j + 1] for x in leaks], kind) for j, kind in enumerate((pa.int64(), pa.float64(), pa.int64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*columns, part.column("text_hash").take(owner)], names=schema.fieldNames())
 
     return docs.mapInArrow(work, schema)

@@ -6,6 +6,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,10 @@ RAW = frozenset("script style textarea title iframe".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 ENDS_P = BLOCKS - {"body", "html", "head", "title", "option", "button", "td", "th", "tr"}
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+ATTRIBUTES = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+", re.S)
+DEEPEST = 512  #: open elements that are kept, as in browsers; what is nested deeper has the names of those above
+MOST_NAMES = 16  #: names of one element
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[A-Za-z][a-z]+|[A-Z]+")
 
@@ -38,10 +42,13 @@ def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order: text between block boundaries, with the elements and names above it.
 
     Character references are decoded, white space becomes single spaces; what is never shown (scripts, styles, comments,
-    the head) is left out. A `<` that begins no tag is text; open elements at the end of the page are closed there.
+    the head) is left out. A `<` that begins no tag is text, as is one with no `>` after it; a tag with a quote that isn't
+    closed ends with the first `>`. Open elements at the end of the page are closed there. The time is linear in the page.
     """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []  # element, what it adds to the path
+    opened: Counter[str] = Counter()  # elements of the stack by name
+    deeper: Counter[str] = Counter()  # open elements that the stack has no room for
     path: tuple[str, ...] = ()
     parts: list[str] = []
     linked = hidden = links = 0
@@ -53,31 +60,52 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(path, text, linked))
             parts, linked = [], 0
 
+    def put(text: str) -> None:
+        nonlocal linked
+        if text and not hidden:
+            text = html.unescape(text) if "&" in text else text
+            parts.append(text)
+            linked += len(text) if links else 0
+
     def pop() -> None:
         nonlocal path, hidden, links
         name, added = stack.pop()
+        opened[name] -= 1
         if name in BLOCKS:
             flush()
         hidden -= name in HIDDEN
         links -= name == "a"
         path = path[: len(path) - len(added)]
 
-    at, end = 0, len(page)
+    at, end, last = 0, len(page), page.rfind(">")
+    text_from = 0  # where the text before the next tag begins
     while at < end:
-        found = TAG.search(page, at)
-        text = page[at : found.start() if found else end]
-        if text and not hidden:
-            text = html.unescape(text) if "&" in text else text
-            parts.append(text)
-            linked += len(text) if links else 0
-        if not found:
-            break
-        at = found.end()
-        name = (found[2] or "").lower()
-        if not name:
+        at = page.find("<", at)
+        if at < 0 or at > last and not page.startswith("<!--", at):
+            break  # no tag ends any more
+        if page.startswith(("<!", "<?"), at):
+            put(page[text_from:at])
+            stop = page.find("-->", at + 4) if page.startswith("<!--", at) else page.find(">", at)
+            at = text_from = end if stop < 0 else stop + (3 if page.startswith("<!--", at) else 1)
             continue
-        if found[1]:
-            if any(x == name for x, _ in stack):
+        named = NAME.match(page, at)
+        if not named:
+            at += 1  # text
+            continue
+        put(page[text_from:at])
+        closing = page[at + 1] == "/"
+        begin = named.end()
+        stop = ATTRIBUTES.match(page, begin).end()
+        if not page.startswith(">", stop):  # a quote that isn't closed
+            stop = page.find(">", begin)
+        at = text_from = stop + 1
+        name = named[1].lower()
+        if closing:
+            if deeper[name]:
+                deeper[name] -= 1
+                if name in BLOCKS:
+                    flush()
+            elif opened[name]:
                 while stack[-1][0] != name:
                     pop()
                 pop()
@@ -95,18 +123,27 @@ def blocks(page: str) -> list[Block]:
             pop()
         if name in BLOCKS:
             flush()
-        said = [x.lower() for m in NAMES.finditer(found[3]) for x in PART.findall(m[1] or m[2] or m[3] or "")] if found[3] else []
+        if name in RAW:
+            found = re.compile(rf"</{name}[^<>]*>", re.I).search(page, at)
+            raw, at = page[at : found.start() if found else end], found.end() if found else end
+            text_from = at
+            if name == "textarea" and not hidden:
+                parts.append(html.unescape(raw))
+                path, above = (*path, "<textarea>"), path
+                flush()
+                path = above
+            continue
+        if len(stack) >= DEEPEST:
+            deeper[name] += 1
+            continue
+        said = [x.lower() for m in NAMES.finditer(page, begin, stop) for x in PART.findall(m[1] or m[2] or m[3] or "")][:MOST_NAMES] if stop > begin else []
         added = tuple([f"<{name}>", *(f".{x}" for x in said)]) if name in BLOCKS or said else ()
         stack.append((name, added))
+        opened[name] += 1
         path += added
         hidden += name in HIDDEN
         links += name == "a"
-        if name in RAW:
-            stop = re.compile(rf"</{name}[^>]*>", re.I).search(page, at)
-            raw, at = page[at : stop.start() if stop else end], stop.end() if stop else end
-            if name == "textarea" and not hidden:
-                parts.append(html.unescape(raw))
-            pop()
+    put(page[text_from:])
     flush()
     return out
 
@@ -348,7 +385,8 @@ def main_text(page: str | None, model: Crf) -> str:
 def extract(pages: DataFrame, model: Crf) -> DataFrame:
     """pages(page_id, url, html, ...) as (page_id, url, text, n_chars): each row's main text, '' if there is none.
 
-    null html counts as empty. Every row counts for itself; the whole html is read; extra columns are ignored.
+    null html counts as empty. Every row counts for itself, repeated ones alike; the whole html is read, however long; an
+    empty table gives an empty one; extra columns are ignored.
     """
     held = pages.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

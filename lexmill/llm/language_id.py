@@ -18,7 +18,7 @@ LETTER = re.compile(r"[^\W\d_]")
 
 
 def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a code sequence (codes 1..symbols; 0 ends a document): state x code -> state.
+    """Transitions of the suffix automaton of a sequence (codes 1..symbols; 0 ends a document): state x code -> state.
 
     0 is the start and -1 means no transition; code 0 has none, so no match runs across documents.
     """
@@ -73,10 +73,19 @@ def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
     return step[: len(rows)]
 
 
+OWN = 46  #: letters with a code of their own; the others are written as hexadecimal digits of their code points
+DIGITS = 5  #: digits of such a letter
+SYMBOLS = 1 + OWN + 16  #: code 1 is any run of what isn't a letter, then letters in either case, then digits
+
+
 class Model:
-    """Automata of all languages over one alphabet, in one table of transitions, and how to parse texts with them."""
+    """Automata of all languages over one alphabet, in one table of transitions, and how to parse texts with them.
+
+    Each language is given by up to most_chars codes of its texts. A longer sample has longer matches, by the logarithm of
+    its length, so phrases are counted at that weight: languages with little labelled text are on a par.
+    """
 
-    def __init__(self, texts: dict[str, list[str]], most_chars: int, symbols: int = 63):
+    def __init__(self, texts: dict[str, list[str]], most_chars: int):
         self.langs = sorted(texts)
         counts: dict[str, int] = {}
         for parts in texts.values():
@@ -84,59 +93,60 @@ class Model:
                 for c in x.lower():
                     if c.isalpha():
                         counts[c] = counts.get(c, 0) + 1
-        kept = sorted(sorted(counts, key=lambda c: (-counts[c], c))[: symbols - 1])
-        # Code 1 is any run of what isn't a letter, 2 and up are letters in either case, 0 is a letter never seen.
+        #: codes of code points; 0 stands for a letter in digits
         self.code_of = np.array([not chr(c).isalpha() for c in range(0x110000)], np.uint8)
-        for k, c in enumerate(kept, 1):
+        for k, c in enumerate(sorted(sorted(counts, key=lambda c: (-counts[c], c))[:OWN]), 1):
             for x in {c, c.upper(), c.lower()}:
                 if len(x) == 1:
                     self.code_of[ord(x)] = k + 1
-        self.symbols = symbols
-        tables, roots, at = [], [], 0
-        # The same amount of text for every language: a longer one would need fewer phrases for any text.
-        least = min((sum(map(len, parts)) for parts in texts.values()), default=0)
+        tables, roots, sizes, at = [], [], [], 0
         for lang in self.langs:
-            parsed = [self.codes(x) for x in texts[lang]]
-            joined = np.concatenate([np.concatenate((x[self.single(x)], [0])) for x in parsed])[: min(least, most_chars)]
-            table = automaton(joined, symbols)
+            joined = np.concatenate([np.concatenate((self.codes(x)[0], [0])) for x in texts[lang]])[:most_chars]
+            table = automaton(joined, SYMBOLS)
             tables.append(np.where(table < 0, -1, table + at))
             roots.append(at)
+            sizes.append(len(joined))
             at += len(table)
         self.step = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
         self.roots = np.array(roots, np.int32)
-
-    def codes(self, text: str) -> np.ndarray:
-        return self.code_of[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-
-    @staticmethod
-    def single(codes: np.ndarray) -> np.ndarray:
-        """Which codes to keep so that runs of non-letters are one code."""
-        keep = np.ones(len(codes), bool)
-        keep[1:] = (codes[1:] != 1) | (codes[:-1] != 1)
-        return keep
+        self.weight = np.log2(np.maximum(sizes, 16)) if sizes else np.zeros(0)
+
+    def codes(self, text: str, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of a text, runs of non-letters as one, and how many each of its parts (of so many characters) has."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = self.code_of[points]
+        lengths = np.array([len(points)]) if lengths is None else lengths
+        keep = np.ones(len(code), np.int64)
+        keep[1:] = (code[1:] != 1) | (code[:-1] != 1)
+        starts = np.cumsum(lengths) - lengths
+        keep[starts[lengths > 0]] = 1
+        rare = code == 0
+        keep[rare] = DIGITS
+        out = np.repeat(code, keep)
+        if rare.any():
+            where = np.flatnonzero(np.repeat(rare, keep)).reshape(-1, DIGITS)
+            out[where] = 2 + OWN + (points[rare, None] >> (4 * np.arange(DIGITS - 1, -1, -1, dtype=np.uint32)) & 15)
+        before = np.concatenate(([0], np.cumsum(keep)))
+        return out, before[starts + lengths] - before[starts]
 
     def phrases(self, texts: list[str], block: int = 1024, lanes: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases that each text needs in each language (texts x languages), and the texts' codes.
+        """Phrases that each text needs in each language (texts x languages), and the number of the texts' codes.
 
-        Texts are parsed greedily into longest matches, in blocks of `block` code points (a phrase ends with its block,
-        which adds at most one in `block`); all blocks and languages advance together, a code point at a time.
+        Texts are parsed greedily into longest matches, in blocks of `block` codes (a phrase ends with its block, which
+        adds at most one in `block`); all blocks and languages advance together, a code at a time.
         """
         lengths = np.array([len(x) for x in texts], np.int64)
         out = np.zeros((len(texts), len(self.langs)), np.int64)
         if not self.langs or not lengths.sum():
             return out, lengths
-        codes = self.codes("".join(texts))
-        keep = self.single(codes)
-        ends = np.cumsum(lengths)
-        before = np.concatenate(([0], np.cumsum(keep)))
-        codes, lengths = codes[keep], before[ends] - before[ends - lengths]
+        codes, lengths = self.codes("".join(texts), lengths)
         pieces = -(-lengths // block)
         owner = np.repeat(np.arange(len(texts)), pieces)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start = (np.cumsum(lengths) - lengths)[owner] + nth * block
         size = np.minimum(block, lengths[owner] - nth * block)
         order = np.argsort(-size, kind="stable")
-        width = self.symbols + 1
+        width = SYMBOLS + 1
         for a in range(0, len(order), lanes):
             part = order[a : a + lanes]
             sizes, starts = size[part], start[part]
@@ -164,7 +174,7 @@ class Model:
         phrases, lengths = self.phrases(known)
         lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if self.langs:
-            rate = phrases / np.maximum(lengths, 1)[:, None]
+            rate = phrases * self.weight / np.maximum(lengths, 1)[:, None]
             order = np.argsort(rate, axis=1, kind="stable")
             best = np.take_along_axis(rate, order[:, :1], 1)[:, 0]
             second = np.take_along_axis(rate, order[:, 1:2], 1)[:, 0] if len(self.langs) > 1 else np.ones(len(texts))
@@ -177,18 +187,21 @@ class Model:
 def train(docs: DataFrame, docs_a_lang: int = 60, most_chars: int = 30_000, longest: int = 20_000) -> Model:
     """A model of docs(doc_id, text, lang): of each lang, docs_a_lang documents outside fold 2, the first by hash.
 
-    This bounded sample is all that reaches the driver: at most docs_a_lang texts of up to `longest` characters a
-    language (longer ones are passed over), of which most_chars characters go into the automaton. The rank filter is
-    pushed below the shuffle, so a language with most rows sends docs_a_lang rows from each task.
+    This bounded sample is all that reaches the driver: at most docs_a_lang texts a language, of which most_chars codes go
+    into the automaton. Within a language texts of 200 to `longest` characters come first, then shorter ones and the
+    beginnings of longer ones, so that a language with only such texts is learned too. The rank filter is pushed below
+    the shuffle, so a language with most rows sends docs_a_lang rows from each task. null and empty texts teach nothing;
+    equal rows count once.
     """
-    rows = docs.where((fold() != 2) & F.col("lang").isNotNull() & F.length("text").between(200, longest))
-    if rows.isEmpty():  # only short texts
-        rows = docs.where((fold() != 2) & F.col("lang").isNotNull() & F.length("text").between(1, longest))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
-    keys = rows.select("lang", "doc_id", F.xxhash64("text").alias("h")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_a_lang).drop("n").distinct()
-    found = rows.select("lang", "doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(keys), ["lang", "doc_id", "h"], "left_semi")  # docs_a_lang rows a language
+    rows = docs.where((fold() != 2) & F.col("lang").isNotNull() & (F.length("text") > 0))
+    odd = (~F.length("text").between(200, longest)).cast("int")
+    order = Window.partitionBy("lang").orderBy("odd", F.xxhash64("doc_id"), "doc_id", "h")
+    keys = rows.select("lang", "doc_id", odd.alias("odd"), F.xxhash64("text").alias("h")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_a_lang).drop("n", "odd").distinct()
+    wanted = F.broadcast(keys)  # docs_a_lang rows a language
+    texts = rows.select("lang", "doc_id", F.left("text", F.lit(longest)).alias("text"), F.xxhash64("text").alias("h"))
+    found = texts.join(wanted, texts.lang.eqNullSafe(keys.lang) & texts.doc_id.eqNullSafe(keys.doc_id) & (texts.h == keys.h), "left_semi")
     texts: dict[str, list[str]] = {}
-    for r in sorted(set((r.lang, r.doc_id, r.text) for r in found.collect()), key=lambda r: (r[0], r[1])):
+    for r in sorted(set((r.lang, r.doc_id, r.text) for r in found.collect()), key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2])):
         texts.setdefault(r[0], []).append(r[2])
     return Model(texts, most_chars)
 
@@ -196,7 +209,8 @@ def train(docs: DataFrame, docs_a_lang: int = 60, most_chars: int = 30_000, long
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs(text, ...) with lang_pred and score, which replace columns of these names; each row counts for itself.
 
-    null, empty and letterless texts are `und` with score 0. The score is the runner-up's share of both phrase rates:
+    null, empty and letterless texts are `und` with score 0, and so are all without a learned language; of languages with
+    equal rates the first by name wins. An empty table gives an empty one. The score is the runner-up's share of both phrase rates:
     0.5 for a tie, near 1 for a clear case. Whole texts are parsed.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)

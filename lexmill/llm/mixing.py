@@ -100,6 +100,18 @@ def _slots(seed: int, epochs: int):
     return expand
 
 
+def before(rows: DataFrame, key: str, order: str, value: str, group: int = 1 << 12) -> DataFrame:
+    """rows with `from`: the sum of value over the rows of the same key with a lesser number in order.
+
+    Numbers are summed in groups of `group`, then groups, so that one key is many tasks' work.
+    """
+    rows = rows.withColumn("_group", F.floor(F.col(order) / group))
+    sums = rows.groupBy(key, "_group").agg(F.sum(value).alias("_n"))
+    so_far = F.sum("_n").over(Window.partitionBy(key).orderBy("_group")) - F.col("_n")
+    inside = F.sum(value).over(Window.partitionBy(key, "_group").orderBy(order)) - F.col(value)
+    return rows.join(sums.select(key, "_group", so_far.alias("_from")), [key, "_group"]).withColumn("from", F.col("_from") + inside).drop("_group", "_from")
+
+
 class Mix:
     """A mix of docs(doc_id, source, text): its rows, sources, block pieces and slots, as DataFrames.
 
@@ -109,26 +121,26 @@ class Mix:
     shards, and slot j takes block perm(j mod blocks) of epoch j div blocks. Slots beyond `most` (whole) epochs stay
     empty, so that no document is taken more than `most` times. All of it is a function of data and seed: reruns agree.
 
-    Offsets of documents come from two running sums, over hashed buckets of a source and within a bucket, so that a
-    source with a third of all rows is never one task's work; blocks and slots join on (s, block), where no key is hot.
-    One row a source is all that the driver sees.
+    Offsets of documents come from running sums over groups of hashed buckets of a source, over buckets and within them;
+    a source has a bucket for each bucket_rows of its rows, so that one with a third of all rows is never one task's
+    work. Slots are dealt out by (s, shard); blocks and slots join on (s, block), where no key is hot. One row a source
+    is all that the driver sees. Texts of any length count as a whole; an empty table gives an empty mix.
 
     null text has no words; null source is a source of its own, the last; equal rows count each for itself; a null
     doc_id is no different from others; columns other than doc_id, source and text are ignored.
     """
 
-    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, block: int = 64, per_shard: int = 4096, seed: int = 11, bucket_rows: int = 20_000):
+    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, block: int = 64, per_shard: int = 4096, seed: int = 11, bucket_rows: int = 500):
         spark = docs.sparkSession
         #: (row, doc_id, source, size, h): one for each row of docs; row is an id that holds once it is stored.
         self.rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("h")))
-        sources = targets(self.rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-        #: (source, source_size, target, s): s numbers the sources.
+        by_source = stored(self.rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count("*") / bucket_rows).alias("buckets")))
+        sources = targets(by_source.select("source", "source_size"), weights, share, most)
+        sources = sources.join(by_source.select(F.col("source").alias("same"), "buckets"), F.col("source").eqNullSafe(F.col("same"))).drop("same")
+        #: (source, source_size, target, buckets, s): s numbers the sources.
         self.sources = stored(sources.withColumn("s", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).coalesce(1))
-        buckets = max(16, -(-self.rows.count() // bucket_rows))
-        named = self.with_source(self.rows).withColumn("bucket", F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(buckets)))
-        sums = named.groupBy("s", "bucket").agg(F.sum("size").alias("n"))
-        before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.select("s", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from"))
+        named = self.with_source(self.rows).withColumn("bucket", F.pmod(F.xxhash64("h", F.lit(seed)), F.col("buckets")))
+        sums = before(named.groupBy("s", "bucket").agg(F.sum("size").alias("n")), "s", "bucket", "n").select("s", "bucket", "from")
         inside = Window.partitionBy("s", "bucket").orderBy("h", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
         placed = named.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, ["s", "bucket"]).withColumn("at", F.col("at") + F.col("from"))
         pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))
@@ -144,14 +156,14 @@ class Mix:
         for s, _, n in plan:
             p[s] = n / wanted
         drawn = spark.range(shards).select(F.col("id").alias("shard")).mapInPandas(_draws(seed, per_shard, shards, slots, p), "shard long, s int, n long")
-        first = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        drawn = before(drawn, "s", "shard", "n").withColumnRenamed("from", "first")
         blocks = self.sources.select("s", F.ceil(F.col("source_size") / block).alias("blocks"))
-        drawn = drawn.withColumn("first", first).join(blocks, "s").select("shard", "s", "n", "first", "blocks")
+        drawn = drawn.join(blocks, "s").select("shard", "s", "n", "first", "blocks").repartition("s", "shard")
         #: (s, shard, slot, block)
         self.slots = drawn.mapInPandas(_slots(seed, most), "s int, shard long, slot long, block long")
 
     def with_source(self, rows: DataFrame) -> DataFrame:
-        """rows(source, ...) with s, source_size and target."""
+        """rows(source, ...) with s, source_size, target and buckets."""
         named = self.sources.withColumnRenamed("source", "named")
         return rows.join(named, rows.source.eqNullSafe(named.named), "left").drop("named")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontamination, html_text, jaccard, language_id, line_dedup, media, mixing, passages, toxicity, url_filter
+from lexmill.llm import decontamination, html_text, jaccard, language_id, line_dedup, media, mixing, oracle, passages, toxicity, url_filter
 from lexmill.llm.common import fold, table
 
 
@@ -32,7 +32,7 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judge_urls(pages, url_filter.outcomes_of(pages, table(spark, sf_dir, "labels")))
+    return url_filter.judge_urls(pages, url_filter.outcomes_of(pages, table(spark, sf_dir, "labels"))).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +62,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_language_id, op4_html_extraction, op5_url_filters, op6_mixing, op7_jaccard_join, op8_suffix_dedup, op9_media, op10_decontamination, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_line_dedup": oracle.LINE_DEDUP, "op5_url_filters": oracle.URLS, "op7_jaccard_join": oracle.JACCARD}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 
@@ -19,15 +20,17 @@ ORDER = 4  #: characters of an n-gram
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SIZE = 28  #: 0 is a word's edge, 1 to 26 letters, 27 any other letter
 
-SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*][^\W_]){2,}(?![^\W_])")  # letters set apart, three at least
-PLAIN = re.compile(r"[^\W\d_]+")
+BEAM = 32  #: states that are followed
+
+MARK = r"[^\W_]|[@$!|+€£]"  # a letter, a digit or what may stand for a letter
+SPACED = re.compile(rf"(?<![^\W_])(?:{MARK})(?:[ .\-_*]{{1,3}}(?:{MARK})){{2,}}(?![^\W_])")  # marks set apart, three at least
+HARD = re.compile(r"[/:=&?%#,;\"{}<>\\\[\])]+")  # what no disguise uses
 EDGE = re.compile(r"^[^\w@$€£]+|[^\w@$]+$|[$*!#%&@+]{2,}$")
-RUN = re.compile(r"(.)\1\1")
-LONGEST = 40  #: of a token that is decoded; beyond it no word is meant
+TWICE = re.compile(r"(.)\1")
 
 
 def codes_of(word: str) -> list[int]:
-    return [ord(c) - 96 if "a" <= c <= "z" else 27 for c in word]
+    return [ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27 for c in word]
 
 
 _CODE = np.zeros(0x110000, np.uint8)
@@ -82,37 +85,54 @@ class CharModel:
         return key % SIZE ** (ORDER - 1), self.log[key]
 
 
-CHANNEL = {"leet": math.log(0.5), "same": math.log(0.7), "double": math.log(0.3), "drop": math.log(0.2), "other": math.log(0.02)}
+CHANNEL = {"leet": math.log(0.5), "same": math.log(0.7), "double": math.log(0.3), "drop": math.log(0.2), "other": math.log(0.02), "join": math.log(0.7), "break": math.log(0.3)}
+
+
+def runs_of(token: str) -> list[tuple[str, str]]:
+    """The runs of one character of a token: the character, and its repeats."""
+    return re.findall(r"(.)(\1*)", token, re.S)
+
+
+def options_of(c: str, more: str, breaks: bool) -> list[tuple[str, float]]:
+    """What a run of c may stand for, with log-probabilities: the lattice's edges. With breaks, marks set letters apart and
+    may also be a blank between words."""
+    if breaks and c in " .-_*":
+        return [("", CHANNEL["join"]), (" ", CHANNEL["join"] if more else CHANNEL["break"])]
+    out: list[tuple[str, float]] = []
+    for x in LEET.get(c, ""):
+        out += [(x, CHANNEL["leet"])] + ([(x + x, CHANNEL["leet"] + CHANNEL["double"])] if more else [])
+    if c.isalpha():
+        return out + [(c, CHANNEL["same"])] + ([(c + c, CHANNEL["double"])] if more else [])
+    return out + [("", CHANNEL["drop"] if c in " .-_*'’~^" else CHANNEL["other"])]
 
 
-def decode(token: str, model: CharModel) -> str:
-    """The likeliest word behind a disguised token.
+def decode(token: str, model: CharModel, breaks: bool = False) -> str:
+    """The likeliest word behind a disguised token; with breaks, the likeliest words behind one of letters set apart.
 
     The lattice: each run of one character may stand for one or two of it (more written ones change nothing), each
-    leet character for one of its letters, and marks between letters for nothing. A state holds the last codes; Viterbi
-    keeps the best path into each.
+    leet character for one of its letters, and marks between letters for nothing or, with breaks, for a blank. A state
+    holds the last codes; Viterbi keeps the best path into each, and of all states the BEAM best, so that the work is
+    linear in a token of any length.
     """
-    runs = re.findall(r"(.)(\1*)", token.lower(), re.S)
-    best: dict[int, tuple[float, str]] = {0: (0.0, "")}
-    for c, more in runs:
-        options: list[tuple[str, float]] = []
-        for x in LEET.get(c, ""):
-            options += [(x, CHANNEL["leet"])] + ([(x + x, CHANNEL["leet"] + CHANNEL["double"])] if more else [])
-        if c.isalpha():
-            options += [(c, CHANNEL["same"])] + ([(c + c, CHANNEL["double"])] if more else [])
-        else:
-            options += [("", CHANNEL["drop"] if c in " .-_*'’~^" else CHANNEL["other"])]
-        after: dict[int, tuple[float, str]] = {}
-        for state, (score, text) in best.items():
-            for letters, cost in options:
+    best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # score, and the path as (path before, letters)
+    for c, more in runs_of(token.lower()):
+        options = [(letters, codes_of(letters), cost) for letters, cost in options_of(c, more, breaks)]
+        after: dict[int, tuple[float, tuple | None]] = {}
+        for state, (score, path) in best.items():
+            for letters, codes, cost in options:
                 s, p = state, score + cost
-                for code in codes_of(letters):
+                for code in codes:
                     s, q = model.step(s, code)
                     p += q
                 if s not in after or p > after[s][0]:
-                    after[s] = (p, text + letters)
-        best = after
-    return max((p + model.step(s, 0)[1], text) for s, (p, text) in best.items())[1]
+                    after[s] = (p, (path, letters))
+        best = after if len(after) <= BEAM else dict(heapq.nlargest(BEAM, after.items(), key=lambda x: x[1][0]))
+    _, path = max(((p + model.step(s, 0)[1], path) for s, (p, path) in best.items()), key=lambda x: x[0])
+    out = []
+    while path is not None:
+        path, letters = path
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 class Restorer:
@@ -120,32 +140,38 @@ class Restorer:
 
     def __init__(self, model: CharModel, kept: int = 1 << 16):
         self.model, self.most = model, kept
-        self.kept: dict[str, str] = {}
-
-    def word(self, token: str) -> str:
-        """What a token that isn't plain letters stands for."""
-        word = self.kept.get(token)
-        if word is None:
-            core = EDGE.sub("", token)
-            clear = PLAIN.fullmatch(core) and not RUN.search(core)
-            word = core if clear or len(core) > LONGEST or not any(map(str.isalpha, core)) else decode(core, self.model)
+        self.kept: dict[str, tuple[str, ...]] = {}
+
+    def restored(self, token: str, breaks: bool = False) -> tuple[str, ...]:
+        """What a token that isn't plain letters stands for. Numbers are decoded too if all of their digits may be letters
+        and there are four at least."""
+        found = self.kept.get(token)
+        if found is None:
+            found = ()
+            for part in (token,) if breaks else HARD.split(token):
+                core = part if breaks else EDGE.sub("", part)
+                if core.isalpha() and not TWICE.search(core):
+                    found += (core,)
+                elif any(map(str.isalpha, core)) or not breaks and len(core) >= 4 and all(c in LEET for c in core):
+                    found += tuple(decode(core, self.model, breaks).split())
+                elif core and not breaks:
+                    found += (core,)
             if len(self.kept) >= self.most:
                 self.kept.clear()
-            self.kept[token] = word
-        return word
+            self.kept[token] = found
+        return found
 
     def words(self, text: str) -> set[str]:
         """The distinct restored words of a text."""
         text, out = text.lower(), set()
-        tokens = set(text.split())
-        tokens.update(x for x in SPACED.findall(text) if len(x) <= 2 * LONGEST)
-        runs = RUN.search(text)
-        for token in tokens:
+        for token in set(text.split()):
             core = token.strip(".,;:?\"'()[]")
-            if core.isalpha() and not (runs and RUN.search(core)):
+            if core.isalpha() and not TWICE.search(core):
                 out.add(core)
             else:
-                out.add(self.word(token))
+                out.update(self.restored(token))
+        for run in SPACED.findall(text):
+            out.update(self.restored(run, True))
         out.discard("")
         return out
 
@@ -244,7 +270,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> tuple[CharM
 def score(docs: DataFrame, model: CharModel, scorer: Scorer) -> DataFrame:
     """docs(doc_id, text, ...) as (doc_id, score): each row by itself, the whole text.
 
-    null and empty texts get the score of a text without telling words.
+    null and empty texts get the score of a text without telling words; repeated rows have the same score; whole texts are
+    read, however long; extra columns are ignored, and an empty table gives an empty one.
     """
     held = docs.sparkSession.sparkContext.broadcast((model, scorer))
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])

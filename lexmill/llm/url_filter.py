@@ -52,7 +52,7 @@ def _shrunk(level: DataFrame, key: str, up: str | None, above: DataFrame | None,
 
 
 def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """(host, n, bad, a, b, mean, low, high) of each host among outcomes(host, bad), bad being 0, 1 or null (no label).
+    """(host, n, bad, a, b, mean, low, high, overall) of each host among outcomes(host, bad), bad being 0, 1 or null (no label).
 
     Counts go up from host to registered domain (the last two labels) to suffix (the last label); posteriors come
     down the same way, each level's prior centred on the posterior mean above it. low and high bound the chance of a
@@ -72,15 +72,17 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     out = _shrunk(hosts, "host", "domain", middle, overall)
     total = F.col("a") + F.col("b")
     mean, sd = F.col("a") / total, F.sqrt(F.col("a") * F.col("b") / (total * total * (total + 1)))
-    return out.select("host", "n", "bad", "a", "b", mean.alias("mean"), F.greatest(F.lit(0.0), mean - z * sd).alias("low"), F.least(F.lit(1.0), mean + z * sd).alias("high"))
+    return out.select("host", "n", "bad", "a", "b", mean.alias("mean"), F.greatest(F.lit(0.0), mean - z * sd).alias("low"), F.least(F.lit(1.0), mean + z * sd).alias("high"), F.lit(overall).alias("overall"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame | None = None, rules: list[tuple[str, str, str]] = RULES, limit: float = 0.5, z: float = 1.645) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame | None = None, rules: list[tuple[str, str, str]] = RULES, limit: float = 1.0, z: float = 1.645) -> DataFrame:
     """Every row of pages(page_id, url, ...) with host, path, rule, verdict and the reputation behind it.
 
-    outcomes(page_id, bad) labels pages 0 (good) or 1 (bad). A rule decides where one fits; elsewhere a host is blocked
-    if even the lower posterior bound of its bad share is above `limit`. null and malformed urls have host and path ''
-    and form the host '' of their own. Repeated rows stay; extra columns of pages are dropped, so none can clash.
+    outcomes(page_id, bad) labels pages 0 (good) or 1 (bad); null is no label. A rule decides where one fits, of equally
+    long ones the first by name; elsewhere a host is blocked if even the lower posterior bound of its bad share is above
+    `limit` times the share of bad pages of all labelled ones. null and malformed urls have host and path '' and form the
+    host '' of their own; urls of any length are read as a whole. Repeated rows stay, an empty table gives an empty one;
+    extra columns of pages are dropped, so none can clash.
     """
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if outcomes is None:
@@ -88,15 +90,16 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame | None = None, rules: list[
     else:
         marks = outcomes.groupBy("page_id").agg(F.max("bad").alias("bad"))
         labelled = rows.join(marks, "page_id", "left").select("host", F.col("bad").cast("long").alias("bad"))
-    reputation = host_reputation(labelled, z).select("host", F.col("n").alias("host_labels"), "mean", "low", "high")
+    reputation = host_reputation(labelled, z).select("host", F.col("n").alias("host_labels"), "mean", "low", "high", "overall")
     out = rows.join(reputation, "host", "left").withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("low") > limit, "block").otherwise("allow"))
+    verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("low") > limit * F.col("overall"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "host_labels", "mean", "low", "high")
 
 
 def outcomes_of(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(page_id, bad): a page is bad if the document whose number ends its path is labelled toxic or of low quality."""
+    """(page_id, bad): a page is bad if the document whose number ends its path is labelled toxic or of low quality; a page
+    whose document has neither label has null, one without a labelled document no row."""
     number = F.regexp_extract(path_of(F.col("url")), r"/(\d{1,18})(?:\.html|/)?$", 1)
     of = pages.select("page_id", F.when(number != "", number.cast("long")).alias("doc_id")).where("doc_id is not null")
-    marks = labels.groupBy("doc_id").agg(F.max(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)).alias("bad"))
+    marks = labels.groupBy("doc_id").agg(F.max(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), 0)).alias("bad"))
     return of.join(marks, "doc_id").select("page_id", "bad")

@@ -340,12 +340,26 @@ def test_media_of_texts(spark):
         assert (x.media_bytes, x.media_sha256) == (len(files[k]), hashlib.sha256(files[k]).hexdigest())
         assert ((webp.decode(files[k]) >> 8) & 255).astype(np.uint8).tobytes() == payload  # the general decoder agrees
     assert got[7][1:] == got[8][1:] and got[0][1:] == got[1][1:]
+    kinds = [webp.head(webp.stream_of(files[k]))[0].read(3) for k in range(len(texts))]
+    assert kinds.count(webp.PALETTE << 1 | 1) > 140 and kinds.count(0) > 3  # texts of many characters have a palette
     broken = frame(spark, [(1, b"junk"), (2, None), (3, files[3])], "doc_id long, media binary")
     arrays = {x.doc_id: x for x in media.pixel_arrays(broken).collect()}
     assert arrays[1].pixels is None and arrays[2].pixels is None and len(arrays[3].pixels) == 576
     assert media.describe_media(media.store_texts(frame(spark, []))).count() == 0
 
 
+def test_media_of_texts_that_fit_no_image(spark, monkeypatch):
+    monkeypatch.setattr(media, "HIGHEST", 2)
+    monkeypatch.setattr(media, "WIDEST", 1200)
+    data = "".join(chr(97 + k % 26) for k in range(5000)).encode()
+    assert media.most_bytes() == 2304 and media.shape_of(2304) == (1152, 2)
+    with pytest.raises(ValueError):
+        media.shape_of(2305)
+    for n in (2304, 2000, 1153):
+        file = media.encode_payloads(np.frombuffer(data[:n], np.uint8), np.array([0, n]))[0]
+        assert media.decode_greens([file])[0][:n].tobytes() == data[:n]
+
+
 def brute_rule(host, path):
     best = None
     for h, p, verdict in url_filter.RULES:

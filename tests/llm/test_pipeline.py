@@ -1,5 +1,6 @@
 import os
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -46,3 +47,33 @@ def test_registered_queries_run(spark):
     for name in ("op1_toxicity", "op2_line_dedup", "op3_language_id", "op6_mixing", "op9_media"):
         assert queries.QUERIES[name](spark, DATA).count() == docs, name
     assert {x.split("_")[0] for x in queries.QUERIES} == {*(f"op{n}" for n in range(1, 11)), "pipeline"}
+
+
+def against_sql(spark, name, folder):
+    con = duckdb.connect()
+    for file in os.listdir(folder):
+        files = f"{folder}/{file}" if os.path.isfile(f"{folder}/{file}") else f"{folder}/{file}/*.parquet"
+        con.execute(f"create view {file.removesuffix('.parquet')} as select * from read_parquet('{files}')")
+    df = queries.QUERIES[name](spark, folder)
+    found = con.execute(queries.ORACLE_SQL[name])
+    names = [x[0] for x in found.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr) == sorted(map(tuple, found.fetchall()), key=repr)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_sql(spark, name):
+    against_sql(spark, name, DATA)
+
+
+def test_url_query_blocks_hosts_and_equals_sql(spark, tmp_path):
+    hosts = ["a.good.com", "b.good.com", "spam.bad.com", "x.bad.com", "www.bad.net", "plain.org", "Localhost", ""]
+    r = np.random.default_rng(1)
+    pages = [(k, f"http://{hosts[k % 8]}/{('en', 'fr', 'de')[k % 3]}/{k}.html") for k in range(400)] + [(900, None), (901, "nothing"), (902, "http://x.bad.com/en/1?q=://y")]
+    labels = [(k, None if k % 11 == 0 else 1, None if k % 7 == 0 else int(hosts[k % 8].endswith("bad.com") and r.random() < 0.9)) for k in range(300)] + [(5, 0, 0)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.QUERIES["op5_url_filters"](spark, str(tmp_path)).where("rule is null").groupBy("host").agg({"verdict": "max", "page_id": "min"}).collect()
+    assert {x.host for x in got if x["max(verdict)"] == "block"} == {"spam.bad.com", "x.bad.com"}
+    against_sql(spark, "op5_url_filters", str(tmp_path))

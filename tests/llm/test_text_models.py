@@ -49,9 +49,39 @@ def test_automaton_counts_phrases_like_a_search():
     texts = ["".join(r.choice(list("abc"), n)) for n in (1, 7, 60, 200)]
     phrases, lengths = model.phrases(texts, block=10_000)
     assert lengths.tolist() == [len(t) for t in texts]
-    least = len(sample)  # each language gets as many characters
-    for k, part in enumerate((sample[:least], other[:least])):
+    for k, part in enumerate((sample, other)):
         assert phrases[:, k].tolist() == [brute_phrases(t, part) for t in texts]
+    # With the default blocks, a phrase ends with its block too.
+    long = "".join(r.choice(list("abc"), 3000))
+    blocks = [long[k : k + 1024] for k in range(0, 3000, 1024)]
+    assert model.phrases([long])[0].tolist() == [[sum(brute_phrases(x, part) for x in blocks) for part in (sample, other)]]
+
+
+def test_languages_with_short_texts_or_large_alphabets(spark):
+    r = np.random.default_rng(3)
+    vocabulary = {
+        "aa": ["".join(r.choice(list("abcdefgh"), 4)) for _ in range(60)],
+        "bb": ["".join(r.choice(list("efghijkl"), 4)) for _ in range(60)],
+        "cc": ["".join(chr(x) for x in r.integers(0x4E00, 0x4E00 + 3000, 3)) for _ in range(300)],
+        "dd": ["".join(chr(x) for x in r.integers(0xAC00, 0xAC00 + 3000, 3)) for _ in range(300)],
+    }
+    text = lambda lang, n: " ".join(r.choice(vocabulary[lang], n))
+    sizes = {"aa": 80, "bb": 8, "cc": 90, "dd": 40}  # bb: under 200 characters each
+    rows = [(k, text(lang, sizes[lang]), lang) for k, lang in enumerate(["aa", "bb", "cc", "dd"] * 30)]
+    rows += [(1000, text("bb", 6000), "ee"), (1001, text("aa", 3), "aa")]  # ee: one text, which is very long
+    docs = corpus(spark, rows)
+    model = language_id.train(docs)
+    assert model.langs == ["aa", "bb", "cc", "dd", "ee"][: 4 + (zlib.crc32(b"1000") % 4 != 2)]
+    fresh = corpus(spark, [(k, text(lang, 12), lang) for k, lang in enumerate(["aa", "bb", "cc", "dd"] * 10)])
+    got = [(x.lang, x.lang_pred) for x in language_id.identify(fresh, model).collect()]
+    assert all(p == lang or (lang, p) == ("bb", "ee") for lang, p in got)
+
+
+def test_ties_and_null_ids(spark):
+    docs = corpus(spark, [(1, "abab abab " * 30, "x"), (3, "abab abab " * 30, "y"), (None, "abab", None)])
+    model = language_id.train(docs)
+    got = language_id.identify(docs, model).collect()
+    assert model.langs and {x.lang_pred for x in got} == {model.langs[0]} and all(0 <= x.score <= 1 for x in got)
 
 
 LANGS = {"aa": "the cat and the dog are in the house of the man ", "bb": "le chat et le chien sont dans la maison de homme "}
@@ -76,8 +106,49 @@ def test_language_identification(spark):
 def test_disguised_words_are_restored():
     text = "you are an idiot and a moron with no shame so stupid and pathetic is this loser trash " * 50
     restorer = toxicity.Restorer(toxicity.CharModel(toxicity.count_ngrams([text])))
-    for disguised, word in {"1d10t": "idiot", "m0r0n": "moron", "i d i o t": "idiot", "stuuuupid": "stupid", "l0$er": "loser", "tr@sh": "trash", "p.a.t.h.e.t.i.c": "pathetic", "IDIOT!!": "idiot"}.items():
+    cases = {
+        "1d10t": "idiot", "m0r0n": "moron", "i d i o t": "idiot", "i  d  i  o  t": "idiot", "stuuuupid": "stupid", "stuupid": "stupid", "iidioot": "idiot",
+        "l0$er": "loser", "tr@sh": "trash", "p.a.t.h.e.t.i.c": "pathetic", "IDIOT!!": "idiot", "1 d 1 0 t": "idiot", "(1d10t)": "idiot", "/m0r0n/": "moron", "70 1053r": "loser",
+        "i" * 60 + "d" + "i" * 9 + "oooot": "idiot", "y o u a r e a n i d i o t a n d a m o r o n w i t h n o s h a m e": "moron",
+    }
+    for disguised, word in cases.items():
         assert word in restorer.words(disguised), disguised
+    assert {"idiot", "moron", "shame"} <= restorer.words("y o u a r e a n i d i o t a n d a m o r o n w i t h n o s h a m e")
+    assert restorer.words("") == set() and "2" in restorer.words("2 + 2") and restorer.words("no shame") == {"no", "shame"}
+
+
+def test_decoding_is_the_best_of_all_paths():
+    from itertools import product
+
+    r = np.random.default_rng(6)
+    model = toxicity.CharModel(toxicity.count_ngrams(["an idiot and a moron sit on a little stool " * 20]))
+
+    def value(choice):
+        state, p = 0, 0.0
+        for letters, cost in choice:
+            p += cost
+            for code in toxicity.codes_of(letters):
+                state, q = model.step(state, code)
+                p += q
+        return p + model.step(state, 0)[1]
+
+    for _ in range(60):
+        token = "".join(r.choice(list("idot10aa@.m"), int(r.integers(1, 7))))
+        for breaks in (False, True):
+            options = [toxicity.options_of(c, more, breaks) for c, more in toxicity.runs_of(token)]
+            best = max(product(*options), key=value)
+            got = toxicity.decode(token, model, breaks)
+            assert abs(max(value(x) for x in product(*options) if "".join(y for y, _ in x) == got) - value(best)) < 1e-9
+
+
+def test_long_tokens_are_decoded_in_linear_time():
+    import time
+
+    model = toxicity.CharModel(toxicity.count_ngrams(["an idiot and a moron " * 20]))
+    r = np.random.default_rng(2)
+    token = "".join(r.choice(list("abcdefgh0123456789@$"), 40_000))
+    began = time.time()
+    assert len(toxicity.decode(token, model)) > 10_000 and time.time() - began < 20
 
 
 def test_character_model_sums_to_one():
