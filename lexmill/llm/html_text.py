@@ -157,7 +157,7 @@ def path_features(path: tuple[str, ...]) -> list[str]:
     out = {f"in {x}" for x in path}
     tags = [x for x in path if x[0] == "<"]
     out.update(f"last {x}" for x in tags[-1:])
-    out.update(f"two {a}{b}" for a, b in zip(tags[-2:-1], tags[-1:], strict=True))
+    out.update(f"two {a}{b}" for a, b in zip(tags[-2:-1], tags[-1:], strict=False))
     return sorted(out)
 
 

@@ -250,6 +250,13 @@ def test_line_dedup_of_short_runs(spark):
     assert got == {d: gone.get(d, (t, 0)) for d, t in rows}
 
 
+def test_line_dedup_of_long_texts(spark):
+    lines = [f"line {k}" for k in range(60_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["first", *lines[100:50_000], "last"])), (3, "x" * 1_000_000)]
+    got = {x.doc_id: (x.text, x.n_removed) for x in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("first\nlast", 49_900), 3: (rows[2][1], 0)}
+
+
 def test_winnowing_guarantee():
     r = np.random.default_rng(1)
     for _ in range(50):
@@ -299,6 +306,40 @@ def test_mix(spark):
     assert mixing.Mix(df.limit(0)).taken().count() == 0
 
 
+def test_taken_words_are_those_of_the_placed_blocks(spark):
+    r = np.random.default_rng(8)
+    rows = [(k, " ".join(f"d{k}_{j}" for j in range(int(r.integers(0, 400)))), f"s{k % 3}") for k in range(120)] + [(500, " ".join(f"long{j}" for j in range(30_000)), "s1")]
+    df = frame(spark, rows, "doc_id long, text string, source string")
+    mix = mixing.Mix(df, per_shard=50, bucket_rows=7)
+    taken = {x.doc_id: x.taken for x in mix.taken().collect()}
+    placed = mix.placed().collect()
+    slots = Counter((x.shard, x.slot, x.s) for x in placed)
+    assert len({(x.shard, x.s, x.slot) for x in placed}) == len(slots)
+    words = Counter()
+    pieces = {}
+    for x in mix.pieces.collect():
+        pieces.setdefault((x.s, x.block), []).append((x.row, x.start, x.n_words))
+    ids = {x.row: x.doc_id for x in mix.rows.collect()}
+    used = Counter((x.s, x.block) for x in mix.slots.collect())
+    assert max(used.values()) <= 2
+    for key, n in used.items():
+        for row, _, size in pieces[key]:
+            words[ids[row]] += n * size
+    assert {d: n for d, n in taken.items() if n} == {d: n for d, n in words.items() if n}
+    # The blocks of a source hold each word of its documents once, 64 at a time.
+    by_block = Counter()
+    for (s, _), found in pieces.items():
+        by_block[s] += sum(n for _, _, n in found)
+        assert sum(n for _, _, n in found) <= 64
+    assert sorted(by_block.values()) == sorted(Counter({s: sum(len(t.split()) for _, t, x in rows if x == s) for s in ("s0", "s1", "s2")}).values())
+
+
+def test_running_sums(spark):
+    rows = [("a", k, k % 5) for k in range(50)] + [("b", k * 3, 1) for k in range(9)]
+    got = {(x.k, x.at): x["from"] for x in mixing.before(spark.createDataFrame(rows, "k string, at long, n long"), "k", "at", "n", 4).collect()}
+    assert got == {(k, at): sum(n for q, b, n in rows if q == k and b < at) for k, at, _ in rows}
+
+
 def test_permutations():
     for n in (1, 2, 3, 10, 1000, 4097):
         for key in (0, 1, 99):

@@ -41,6 +41,32 @@ def test_stages(spark, tmp_path):
     assert whole == {x.doc_id: (x.size, x.taken) for x in at.collect()}
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark, tmp_path):
+    text = lambda c, n=40: " ".join(f"{c}{k}" for k in range(n))
+    rows = [
+        (1, text("a"), "aa", "s", 1), (2, text("a"), "aa", "s", 1),  # copies
+        (3, text("b"), "aa", "s", 1), (3, text("b"), "aa", "s", 1),  # equal rows
+        (4, text("c"), "aa", "s", 1), (4, text("d"), "aa", "s", 1),  # two texts of one id
+        (5, text("d") + " more", "aa", "s", 1),  # a near copy of one of them
+        (None, text("a"), "aa", "s", 1), (None, text("e"), "aa", "s", 1), (None, None, None, None, 0), (6, "", None, None, 0), (6, "", None, None, 0),
+        (7, text("f", 30_000), "aa", "s", 1), (8, text("f", 30_000) + " end", "aa", "s", 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.by_similarity(spark, docs, "")
+    got = sorted(((x.doc_id, x.text) for x in out.collect()), key=repr)
+    want = [rows[k][:2] for k in (0, 2, 4, 5, 8, 9, 10, 11, 12)]
+    assert out.columns == corpus_pipeline.COLUMNS and got == sorted(want, key=repr)
+    spark.createDataFrame([(1, text("c")), (2, text("e"))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = [(x.doc_id, x.text) for x in corpus_pipeline.by_benchmark(spark, docs, str(tmp_path)).collect()]
+    assert sorted(left, key=repr) == sorted(((d, t) for d, t, *_ in rows if t not in (text("c"), text("e"))), key=repr)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_registered_queries_run(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").count()

@@ -214,6 +214,21 @@ def test_extraction_of_odd_pages(spark):
     assert len(got[6]) == len("long words here, yes. ") * 20_000 - 1 and all(r[3] == len(r[2]) for r in out)
 
 
+def test_extraction_is_linear_in_hostile_pages(spark):
+    import time
+
+    model = html_text.trained(html_text.labelled_pages(40))
+    pages = ["<a " * 330_000, "<div>" * 200_000, "<div>x" * 100_000, "<b>" * 50_000 + "</i>" * 200_000, "<!" * 500_000, '<a "' * 250_000 + ">", "<li>x" * 100_000, "<script>" * 100_000]
+    for page in pages:
+        began = time.time()
+        html_text.main_text(page, model)
+        assert time.time() - began < 5, page[:10]
+    deep = html_text.blocks("<article>" + "<div class=a>" * 600 + "<p>inner" + "</div>" * 600 + "<p>after</article><p>beyond")
+    assert [b.text for b in deep] == ["inner", "after", "beyond"] and "<article>" in deep[1].path and "<article>" not in deep[2].path
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_text.extract(empty, model).count() == 0
+
+
 def brute_alignment(a, b):
     h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(1, len(a) + 1):
@@ -244,3 +259,36 @@ def test_leaks(spark):
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert sorted(got, key=repr) == sorted([(r.doc_id, r.item_id) for r in decontamination.find_leaks(df, bench, group_items=2).collect()], key=repr)
     assert decontamination.find_leaks(df.limit(0), bench).count() == 0 and decontamination.find_leaks(df, bench.limit(0)).count() == 0
+
+
+def test_leaks_equal_the_alignment_of_everything(spark):
+    r = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in r.integers(0, 900, n)]
+    items = [word(int(n)) for n in r.integers(4, 40, 12)] + [["two", "words"], ["one"]]
+    docs = []
+    for k in range(160):
+        w = list(items[k % 12])
+        for _ in range(int(r.integers(0, 1 + len(w) // 3))):  # edits: more and more don't count as a copy
+            at = int(r.integers(len(w)))
+            w[at : at + 1] = [[], ["new"], ["one", "more"]][int(r.integers(3))] if len(w) > 3 else w[at : at + 1]
+        docs.append((k, " ".join(word(int(r.integers(0, 30))) + w + word(int(r.integers(0, 30))))))
+    docs += [(200, "Two words"), (201, "two words more"), (202, "one"), (203, "one one"), (204, " ")]
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash")).withColumn("score", F.lit(1))
+    got = {(x.doc_id, x.item_id): x.score for x in decontamination.find_leaks(df, bench, rare=1.0).collect()}
+    want, grams = {}, lambda w: {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+    for d, text in docs:
+        for k, item in enumerate(items):
+            if len(item) < 3:
+                if text.lower().split() == item:
+                    want[d, k] = 1.0
+            elif grams(item) & grams(text.split()) and (score := brute_alignment(item, text.split()) / (2 * len(item))) >= 0.6:
+                want[d, k] = score  # a copy without a seed of three words isn't found: seeds are the method's first step
+    assert got == want and len(want) > 100
+
+
+def test_extra_columns_and_repeated_rows_of_scores(spark):
+    docs = corpus(spark, [(1, "a calm day", "aa"), (1, "a calm day", "aa"), (2, "x" * 300_000, "aa"), (3, "", None)]).withColumn("score", F.lit("clash")).withColumn("toxic", F.lit(7))
+    marks = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    got = [(x.doc_id, x.score) for x in toxicity.score(docs, *toxicity.train(docs, marks)).collect()]
+    assert len(got) == 4 and len({s for d, s in got if d == 1}) == 1
