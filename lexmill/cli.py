@@ -61,6 +61,31 @@ def bench(engine: BooleanEngine, lines, out=sys.stdout) -> None:
             print(f"Error: {error}", file=sys.stderr)
 
 
+class Timed:
+    """An engine that reports the milliseconds of each query."""
+
+    def __init__(self, engine: BooleanEngine, out=sys.stderr):
+        self.engine, self.out = engine, out
+
+    def query(self, line: str):
+        began = time.time()
+        found = self.engine.query(line).cache()
+        print(f"{found.count()} documents in {(time.time() - began) * 1000:.1f} ms: {line}", file=self.out)
+        return found
+
+
+def warmed(engine: BooleanEngine, lines, n: int):
+    """The lines, of which the first n queries are answered once before."""
+    first = [line for _, line in zip(range(n), lines)]
+    for line in first:
+        try:
+            answer(engine, line)
+        except QuerySyntaxError:
+            pass
+    yield from first
+    yield from lines
+
+
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lexmill")
     kinds = parser.add_subparsers(dest="kind", required=True)
@@ -71,7 +96,10 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--binary", action="store_true")
     p.add_argument("--shards", type=int)
     p = kinds.add_parser("query")
-    p.add_argument("index")
+    p.add_argument("index", nargs="?")
+    p.add_argument("--index", dest="path", help="the same as the argument")
+    p.add_argument("--warmup", type=int, default=0, help="lines of standard input that are answered without output first")
+    p.add_argument("--verbose", action="store_true", help="reports the milliseconds of each query")
     p.add_argument("--nltk", action="store_true")
     mode = p.add_mutually_exclusive_group()
     mode.add_argument("--interactive", action="store_true")
@@ -84,14 +112,17 @@ def main(args: list[str] | None = None) -> int:
         return 0
     began = time.time()
     try:
-        engine = BooleanEngine.open(spark, said.index, said.nltk)
+        if not (said.path or said.index):
+            parser.error("an index is needed")
+        engine = BooleanEngine.open(spark, said.path or said.index, said.nltk)
     except Exception as error:  # a missing or foreign path
         print(error, file=sys.stderr)
         return 1
     if said.bench_init:
         print(f"INIT_TIME_MS: {(time.time() - began) * 1000:.4f}")
     else:
-        (bench if said.bench else interactive)(engine, sys.stdin)
+        lines = warmed(engine, sys.stdin, said.warmup)
+        (bench if said.bench else interactive)(Timed(engine) if said.verbose else engine, lines)
     return 0
 
 

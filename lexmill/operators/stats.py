@@ -53,3 +53,11 @@ def against_first(rows: DataFrame, metric: str, phase: str, value: str) -> DataF
     delta = F.when(F.col("_b") != 0, (F.col(value) - F.col("_b")) / F.col("_b") * 100).otherwise(0.0)
     speedup = F.when(F.col(value) != 0, F.col("_b") / F.col(value)).otherwise(0.0)
     return out.select(metric, phase, value, F.round(delta, 4).alias("delta_pct"), F.round(speedup, 4).alias("speedup"))
+
+
+def cross_phase(rows: DataFrame, metric: str, phase: str, value: str, phases: list[int]) -> DataFrame:
+    """(metric, phase_1, phase_2, ..., delta_pct): a column for each of the phases, and the last against the first; null
+    where a phase has no value."""
+    wide = rows.groupBy(metric).pivot(phase, phases).agg(F.first(value))
+    first, last = F.col(str(phases[0])), F.col(str(phases[-1]))
+    return wide.select(metric, *[F.col(str(k)).alias(f"phase_{k}") for k in phases], F.round(F.when(first != 0, (last - first) / first * 100).when(first == 0, 0.0), 4).alias("delta_pct"))

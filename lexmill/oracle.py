@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# The stop words, as above all in lexmill.functions.text.
 STOPS = "('" + "','".join(
     "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with about above after again all am any because been before being below between both can could did do does doing down during each few from further get got had has have having he her here hers herself him himself his how i its itself just me might more most must my myself nor now off once only other our ours ourselves out over own re same she should so some still than them themselves those through too under until up very we were what when where which while who whom why would you your yours yourself yourselves".split()
 ) + "')"
@@ -29,11 +30,12 @@ def _rules(rules: str, pattern: str) -> str:
     return out + " ELSE w END"
 
 
-def _stem_ctes() -> str:
+def stem_ctes() -> str:
     mend = (
         f"CASE WHEN {_re('x', '(at|bl|iz)$')} THEN x || 'e' WHEN {_re('x', '(bb|cc|dd|ff|gg|hh|jj|kk|mm|nn|pp|qq|rr|tt|vv|ww|xx|00|11|22|33|44|55|66|77|88|99)$')} THEN left(x, length(x) - 1) "
         f"WHEN {_re('x', '(ll|ss|zz)$')} THEN x WHEN {_re('x', _MX)} AND {_re('x', _CVC)} THEN x || 'e' ELSE x END"
     )
+    # The suffix rules, as in lexmill.functions.stem.
     steps = [
         "CASE WHEN suffix(w, 'sses') THEN left(w, length(w) - 2) WHEN suffix(w, 'ies') THEN left(w, length(w) - 2) WHEN suffix(w, 'ss') THEN w WHEN suffix(w, 's') THEN left(w, length(w) - 1) ELSE w END",
         None,  # ed and ing: below
@@ -56,7 +58,7 @@ def _stem_ctes() -> str:
 
 
 SURFACE = f"surf AS (SELECT doc_id, lower(t) AS s FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[a-zA-Z0-9]+')) AS t FROM documents) WHERE lower(t) NOT IN {STOPS}), voc AS (SELECT DISTINCT s FROM surf)"
-STEMS = f"{SURFACE}, {_stem_ctes()}"
+STEMS = f"{SURFACE}, {stem_ctes()}"
 INDEX = f"{STEMS}, postings AS (SELECT DISTINCT term, doc_id FROM surf JOIN stems USING (s) WHERE term NOT IN {STOPS}), df AS (SELECT term, count(*) AS df FROM postings GROUP BY term), universe AS (SELECT DISTINCT doc_id FROM postings)"
 TF = f"{STEMS}, tf AS (SELECT term, doc_id, count(*) AS tf FROM surf JOIN stems USING (s) WHERE term NOT IN {STOPS} GROUP BY ALL)"
 GAPS = f"{INDEX}, gaps AS (SELECT term, row_number() OVER w - 1 AS pos, doc_id - coalesce(lag(doc_id) OVER w, 0) AS gap, doc_id FROM postings WINDOW w AS (PARTITION BY term ORDER BY doc_id))"

@@ -245,6 +245,26 @@ def one_scan(index: DataFrame, program: tuple[str, ...], universe: DataFrame | N
     return everything.join(found, keys, "left").where(accepted(masks, steps)).select(*keys)
 
 
+def routed(index: DataFrame, catalog: DataFrame, program: tuple[str, ...]) -> DataFrame:
+    """(shard, doc_id) of index(shard, term, doc_id), read only where catalog(term, shard) lets the program hold.
+
+    A shard is left out if its terms can't make the program true, whatever a document in it has of them; what is negated
+    may always be true. On an index with a folder a shard, the semi join prunes folders.
+    """
+    may = fold(program, lambda x: (x,), lambda x: ("\\all",), lambda x, y: _either(x, y, "\\and"), lambda x, y: _either(x, y, "\\or"))
+    if "\\all" not in may:
+        index = index.join(one_scan(catalog, may, keys=("shard",)), "shard", "left_semi")
+    return one_scan(index, program, keys=("shard", "doc_id"))
+
+
+def _either(x: tuple[str, ...], y: tuple[str, ...], operator: str) -> tuple[str, ...]:
+    """x and y joined by the operator, where one may be always true."""
+    free = [z == ("\\all",) for z in (x, y)]
+    if any(free):
+        return ("\\all",) if all(free) or operator == "\\or" else y if free[0] else x
+    return (*x, *y, operator)
+
+
 def relational(index: DataFrame, program: tuple[str, ...], universe: DataFrame | None = None) -> DataFrame:
     """Plan A: semi joins, anti joins and unions; good for one or two rare terms."""
     everything = index.select("doc_id").distinct() if universe is None else universe

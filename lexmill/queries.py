@@ -13,8 +13,8 @@ from lexmill.functions import codec, text
 from lexmill.functions.stem import with_stem
 from lexmill.operators import index as ix
 from lexmill.operators import stats
-from lexmill.oracle import GAPS, INDEX, STEMS, STOPS, TF, has, indexed
-from lexmill.plans.boolean import BooleanEngine, batch, formatted, one_scan, relational
+from lexmill.oracle import GAPS, INDEX, STEMS, STOPS, TF, has, indexed, stem_ctes
+from lexmill.plans.boolean import BooleanEngine, batch, formatted, one_scan, relational, routed
 from lexmill.sources.binary_index import export_index, import_index
 from lexmill.sources.results import latest_results
 from lexmill.sources.scratch import fresh_path
@@ -181,10 +181,23 @@ def normalize(spark, d):
 BATCH = ["en er \\and", "es th \\or", "nd \\not", "zzzunknown", "zzzunknown \\not", "en er \\and th \\not \\and", "thtion attion \\or ertion \\and", "en er \\or es \\and \\not", "the en \\and", "en er", "\\not"]
 
 
-@register(f"SELECT query_id, pos, token FROM (VALUES (0, 0, 'en'), (0, 1, 'er'), (0, 2, '\\and'), (1, 0, 'sky'), (1, 1, 'lake'), (1, 2, '\\or'), (2, 0, 'run'), (2, 1, 'dog'), (2, 2, '\\not')) AS t(query_id, pos, token)")
+_RAW = [(0, "en er \\and"), (1, "Sky-lake OR"), (2, "the running dogs NOT")]
+_TOKENS_SQL = (
+    "WITH raw(query_id, query) AS (VALUES " + ", ".join(f"({k}, '{q}')" for k, q in _RAW) + "), "
+    "listed AS (SELECT query_id, string_split_regex(trim(query), '\\s+') AS l FROM raw), "
+    "chunks AS (SELECT query_id, generate_subscripts(l, 1) AS c, unnest(l) AS chunk FROM listed), "
+    "told AS (SELECT *, regexp_extract(lower(chunk), '^\\\\?(and|or|not)$', 1) AS op FROM chunks), "
+    f"parts AS (SELECT query_id, c, CASE WHEN op <> '' THEN ['\\' || op] ELSE list_filter(list_transform(regexp_extract_all(chunk, '[a-zA-Z0-9]+'), lambda x: lower(x)), lambda x: x NOT IN {STOPS}) END AS l FROM told), "
+    "words AS (SELECT query_id, c, generate_subscripts(l, 1) AS k, unnest(l) AS s FROM parts), "
+    f"voc AS (SELECT DISTINCT s FROM words WHERE NOT starts_with(s, '\\')), {stem_ctes()} "
+    "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY c, k) - 1 AS pos, coalesce(term, s) AS token FROM words LEFT JOIN stems USING (s)"
+)
+
+
+@register(_TOKENS_SQL)
 def query_tokens(spark, d):
     """The words of queries, split and stemmed by Spark itself, as a batch would be."""
-    raw = spark.createDataFrame([(0, "en er \\and"), (1, "Sky-lake OR"), (2, "the running dogs NOT")], "query_id int, query string")
+    raw = spark.createDataFrame(_RAW, "query_id int, query string")
     chunks = raw.select("query_id", F.posexplode(F.split(F.trim("query"), r"\s+")).alias("c", "chunk"))
     operator = F.regexp_extract(F.lower("chunk"), r"^\\?(and|or|not)$", 1)
     chunks = chunks.withColumn("op", operator)
@@ -372,6 +385,15 @@ def shard_catalog(spark, d):
     return ix.shard_catalog(held(spark, d).postings.join(ix.with_shards(docs(spark, d).select("doc_id"), 4), "doc_id"))
 
 
+@register(indexed(f"{has('thtion')}{_AND}({_U} EXCEPT {has('en')})"))
+def q_routed(spark, d):
+    """Only shards whose catalog has the term are read."""
+    n = docs(spark, d).count()
+    sharded = held(spark, d).postings.withColumn("shard", ix.shard_of(F.col("doc_id"), F.lit(n), 4))
+    program = engine(spark, d).parse("thtion en \\not \\and")
+    return routed(sharded, ix.shard_catalog(sharded), program).select("doc_id")
+
+
 RANKED = ["thtion", "attion", "ertion"]
 _CHOSEN = "chosen AS (SELECT * FROM tf WHERE term IN ('thtion', 'attion', 'ertion')), cdf AS (SELECT term, count(*) AS df FROM chosen GROUP BY term), lens AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY doc_id)"
 
@@ -459,3 +481,8 @@ def phase_delta(spark, d):
 @register(f"WITH {_PHASES} SELECT event_type, phase, median_ms, round(CASE WHEN median_ms <> 0 THEN {_FIRST} / median_ms ELSE 0 END, 4) AS speedup FROM p")
 def speedup(spark, d):
     return stats.against_first(_phases(spark, d), "event_type", "phase", "median_ms").drop("delta_pct")
+
+
+@register(f"WITH {_PHASES}, w AS (SELECT event_type, max(median_ms) FILTER (WHERE phase = 1) AS phase_1, max(median_ms) FILTER (WHERE phase = 2) AS phase_2, max(median_ms) FILTER (WHERE phase = 3) AS phase_3 FROM p GROUP BY event_type) SELECT *, round(CASE WHEN phase_1 <> 0 THEN (phase_3 - phase_1) / phase_1 * 100 WHEN phase_1 = 0 THEN 0 END, 4) AS delta_pct FROM w")
+def phase_table(spark, d):
+    return stats.cross_phase(_phases(spark, d), "event_type", "phase", "median_ms", [1, 2, 3])

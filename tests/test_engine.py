@@ -236,3 +236,28 @@ def test_streamed_postings(spark, tmp_path):
     query.stop()
     got = spark.read.parquet(str(tmp_path / "out")).select("term", "doc_id").collect()
     assert sorted(map(tuple, got)) == [("alpha", 1), ("beta", 1), ("beta", 2)]
+
+
+def test_routing_by_catalog(spark):
+    rows = [(0, "alpha", 1), (0, "beta", 1), (1, "beta", 5), (2, "alpha", 9), (2, "gamma", 9)]
+    sharded = spark.createDataFrame(rows, "shard int, term string, doc_id long")
+    plain = b.BooleanEngine(sharded.select("term", "doc_id"))
+    for query in ("alpha", "alpha beta \\and", "alpha gamma \\or", "alpha beta \\not \\and", "beta \\not", "alpha \\not beta \\and", "alpha beta \\not \\or"):
+        program = plain.parse(query)
+        assert ids(b.routed(sharded, ix.shard_catalog(sharded), program)) == ids(plain.query(query)), query
+
+
+def test_verbose_and_warm_up(index):
+    engine, out = b.BooleanEngine(index), io.StringIO()
+    lines = list(cli.warmed(engine, iter(["alpha", "alpha beta", "EXIT"]), 2))
+    assert lines == ["alpha", "alpha beta", "EXIT"]
+    answers = io.StringIO()
+    cli.bench(cli.Timed(engine, out), lines, answers)
+    assert answers.getvalue() == "READY\n1 3 6\n\n" and out.getvalue().startswith("3 documents in ")
+
+
+def test_crc_of_terms(spark):
+    import zlib
+
+    row = spark.createDataFrame([("information",)], "term string").select(F.crc32(F.col("term").cast("binary")).alias("crc")).first()
+    assert row.crc == zlib.crc32(b"information")
