@@ -120,10 +120,11 @@ class JaccardJoin:
 
         score is the mean number of classes that have a shingle which the class emits.
         """
-        emitted = self.classes.select("x", "n", F.size("s").alias("e"), F.explode("s").alias("g"))
+        emitted = self.classes.select("x", F.explode("s").alias("g"))  # the most rows of all: no more columns than needed
         counted = stored(emitted.groupBy("g").agg(F.count("*").alias("m")).where("m > 1"))
-        met = emitted.join(counted, "g").groupBy("x").agg(F.first("n").alias("n"), F.first("e").alias("e"), F.sort_array(F.collect_list(F.struct("m", "g")), False).alias("met"))
-        kept = met.where(F.size("met") > _dropped(F.col("n"))).withColumn("score", F.aggregate("met", F.lit(0).cast("long"), lambda a, t: a + t["m"]) / F.col("e"))
+        met = emitted.join(counted, "g").groupBy("x").agg(F.sort_array(F.collect_list(F.struct("m", "g")), False).alias("met"))
+        met = met.join(self.classes.select("x", "n"), "x")
+        kept = met.where(F.size("met") > _dropped(F.col("n"))).withColumn("score", F.aggregate("met", F.lit(0).cast("long"), lambda a, t: a + t["m"]) / (F.floor(F.col("n") / 4) + F.floor(F.col("n") / 10) + 1))
         kept = stored(kept.select("x", "n", "score", F.explode(F.slice("met", _dropped(F.col("n")) + 1, F.size("met"))).alias("k")).select(F.col("k.g").alias("g"), "x", "n", "score"))
         forget(counted)
         return kept
