@@ -21,6 +21,8 @@ distance just beyond R and have no centre is compared pair by pair.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,6 +34,7 @@ N = 5  #: words of a shingle
 BITS = 16  #: longs of a set's sketch
 FEW = 64  #: sets of a region that needs no second pivot
 SMALL = 200_000  #: rows of ids that are broadcast, if counted
+PARTS = 2  #: parts of the shingles, a power of two: only one's shuffle files are on disk at a time
 
 
 def _shingles(w: np.ndarray) -> np.ndarray:
@@ -118,15 +121,23 @@ class JaccardJoin:
     def regions(self) -> DataFrame:
         """(g, x, n, score) of the shingles that each class keeps, regions of one class left out.
 
-        score is the mean number of classes that have a shingle which the class emits.
+        score is the mean number of classes that have a shingle which the class emits. Emitted shingles are counted and
+        met a part of them at a time, and forgotten then: they are the most rows of all.
         """
-        emitted = self.classes.select("x", F.explode("s").alias("g"))  # the most rows of all: no more columns than needed
-        counted = stored(emitted.groupBy("g").agg(F.count("*").alias("m")).where("m > 1"))
-        met = emitted.join(counted, "g").groupBy("x").agg(F.sort_array(F.collect_list(F.struct("m", "g")), False).alias("met"))
+        shared = []
+        for part in range(PARTS):
+            emitted = self.classes.select("x", F.explode("s").alias("g")).where(F.col("g").bitwiseAND(PARTS - 1) == part)
+            counted = stored(emitted.groupBy("g").agg(F.count("*").alias("m")).where("m > 1"))
+            # counted grows with the input, so it is never broadcast
+            shared.append(stored(emitted.join(counted.hint("merge"), "g").select("x", "m", "g")))
+            forget(counted)
+        whole, self.classes = self.classes, stored(self.classes.select("x", "n", "rep"))
+        forget(whole)
+        met = reduce(DataFrame.union, shared).groupBy("x").agg(F.sort_array(F.collect_list(F.struct("m", "g")), False).alias("met"))
         met = met.join(self.classes.select("x", "n"), "x")
         kept = met.where(F.size("met") > _dropped(F.col("n"))).withColumn("score", F.aggregate("met", F.lit(0).cast("long"), lambda a, t: a + t["m"]) / (F.floor(F.col("n") / 4) + F.floor(F.col("n") / 10) + 1))
         kept = stored(kept.select("x", "n", "score", F.explode(F.slice("met", _dropped(F.col("n")) + 1, F.size("met"))).alias("k")).select(F.col("k.g").alias("g"), "x", "n", "score"))
-        forget(counted)
+        forget(*shared)
         return kept
 
     def compared(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
