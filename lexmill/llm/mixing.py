@@ -168,8 +168,12 @@ class Mix:
         return rows.join(named, rows.source.eqNullSafe(named.named), "left").drop("named")
 
     def placed(self) -> DataFrame:
-        """(shard, slot, s, block, row, start, n_words): the pieces of the block in each slot."""
-        return self.slots.join(self.pieces, ["s", "block"])
+        """(shard, slot, s, block, row, start, n_words): the pieces of the block in each slot.
+
+        Both sides come from few rows that become many, which Spark's size estimates don't see: without the hint it
+        broadcasts all slots once their counts by shard, thousands of times fewer, are under its threshold.
+        """
+        return self.slots.hint("merge").join(self.pieces, ["s", "block"])
 
     def taken(self) -> DataFrame:
         """(doc_id, size, source_size, target, taken) of each row of docs."""

@@ -334,6 +334,14 @@ def test_taken_words_are_those_of_the_placed_blocks(spark):
     assert sorted(by_block.values()) == sorted(Counter({s: sum(len(t.split()) for _, t, x in rows if x == s) for s in ("s0", "s1", "s2")}).values())
 
 
+def test_slots_are_never_broadcast(spark):
+    rows = [(k, "w " * 200, f"s{k % 2}") for k in range(50)]
+    placed = mixing.Mix(frame(spark, rows, "doc_id long, text string, source string")).placed()
+    assert placed.count() > 150
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin(\(\S+\))? \[s#\d+L?, block#", plan) and not re.search(r"BroadcastHashJoin \[[^]]*block#", plan)
+
+
 def test_running_sums(spark):
     rows = [("a", k, k % 5) for k in range(50)] + [("b", k * 3, 1) for k in range(9)]
     got = {(x.k, x.at): x["from"] for x in mixing.before(spark.createDataFrame(rows, "k string, at long, n long"), "k", "at", "n", 4).collect()}
