@@ -129,6 +129,17 @@ class Model:
         before = np.concatenate(([0], np.cumsum(keep)))
         return out, before[starts + lengths] - before[starts]
 
+    def codes_of(self, texts: list[str], lengths: np.ndarray, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+        """codes() of texts one after another, made for about `most` characters at a time: what codes() holds besides is
+        many times the codes' own size."""
+        at, parts, start = np.cumsum(lengths), [], 0
+        while start < len(texts):
+            base = at[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(at, base + most, side="right")))
+            parts.append(self.codes("".join(texts[start:stop]), lengths[start:stop]))
+            start = stop
+        return np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts])
+
     def phrases(self, texts: list[str], block: int = 1024, lanes: int = 4096) -> tuple[np.ndarray, np.ndarray]:
         """Phrases that each text needs in each language (texts x languages), and the number of the texts' codes.
 
@@ -139,7 +150,7 @@ class Model:
         out = np.zeros((len(texts), len(self.langs)), np.int64)
         if not self.langs or not lengths.sum():
             return out, lengths
-        codes, lengths = self.codes("".join(texts), lengths)
+        codes, lengths = self.codes_of(texts, lengths)
         pieces = -(-lengths // block)
         owner = np.repeat(np.arange(len(texts)), pieces)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)

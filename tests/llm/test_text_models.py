@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -57,6 +58,21 @@ def test_automaton_counts_phrases_like_a_search():
     assert model.phrases([long])[0].tolist() == [[sum(brute_phrases(x, part) for x in blocks) for part in (sample, other)]]
 
 
+def test_parsing_holds_little_besides_the_codes():
+    r = np.random.default_rng(2)
+    model = language_id.Model({"aa": ["some words of one language"], "bb": ["others, in another one"]}, 1000)
+    texts = ["".join(map(chr, r.choice([32, 46, 49, 97, 98, 101, 111, 1078], int(n)))) for n in (0, 3, 700, 0, 9, 1500, 0)]
+    want = model.codes("".join(texts), np.array([len(x) for x in texts]))
+    for most in (1, 10, 720, 1 << 19):
+        for a, b in zip(model.codes_of(texts, np.array([len(x) for x in texts]), most), want, strict=True):
+            assert (a == b).all()
+    tracemalloc.start()
+    model.phrases(["one of many texts. " * 100] * 2000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # 3.8 million codes
+
+
 def test_languages_with_short_texts_or_large_alphabets(spark):
     r = np.random.default_rng(3)
     vocabulary = {
