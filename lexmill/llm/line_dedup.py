@@ -115,16 +115,17 @@ def repeated_runs(rows: DataFrame, window: int = 3) -> DataFrame:
     in other company lead nowhere else. Matches are followed along the shift between both places, and runs of
     `window` lines or more are returned, as are shorter ones of WORDS words or more and whole short documents. First places come from a minimum that is pre-aggregated in each task, and
     every other place joins this one only: a run that a third of all documents share makes a row for each
-    document, never pairs of them. Places within one document count too. The result is stored.
+    document, never pairs of them. Places within one document count too. The result is stored. Joins are merge joins at
+    every size: the sizes of compressed steps, by which Spark would broadcast, say little of what they hold in memory.
     """
     prints = stored(rows.mapInArrow(_fingerprints(window), "key long, d long, h long, at long"))
     first = prints.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "at")).alias("p")).where("n > 1").drop("n")
     here = F.struct("d", "h", "at")
-    matched = prints.join(first, "key").where(here > F.col("p")).groupBy("d", "h", F.col("p.d").alias("d0"), F.col("p.h").alias("h0")).agg(F.collect_set((F.col("at") - F.col("p.at")).cast("int")).alias("shifts"))
+    matched = prints.join(first.hint("merge"), "key").where(here > F.col("p")).groupBy("d", "h", F.col("p.d").alias("d0"), F.col("p.h").alias("h0")).agg(F.collect_set((F.col("at") - F.col("p.at")).cast("int")).alias("shifts"))
     matched = stored(matched)
     forget(prints)
-    later = rows.withColumnRenamed("hashes", "a").join(matched, ["d", "h"])
-    both = later.join(rows.select(F.col("d").alias("d0"), F.col("h").alias("h0"), F.col("hashes").alias("b")), ["d0", "h0"])
+    later = rows.withColumnRenamed("hashes", "a").join(matched.hint("merge"), ["d", "h"])
+    both = later.join(rows.select(F.col("d").alias("d0"), F.col("h").alias("h0"), F.col("hashes").alias("b")).hint("merge"), ["d0", "h0"])
     out = stored(both.select("d", "h", "shifts", "a", "b", "n_words").mapInArrow(_extend(window), "d long, h long, start long, end long").distinct())
     forget(matched)
     return out
@@ -147,7 +148,7 @@ def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
     runs = found.groupBy(F.col("d").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("start", "end")).alias("_runs"))
     lines = F.split("text", LINE)
     left = F.filter(lines, lambda x, i: ~F.exists("_runs", lambda r: (i >= r["start"]) & (i < r["end"])))
-    out = keyed.join(runs, ["_d", "_h"], "left").withColumn("_left", F.when(F.col("_runs").isNotNull(), left))
+    out = keyed.join(runs.hint("merge"), ["_d", "_h"], "left").withColumn("_left", F.when(F.col("_runs").isNotNull(), left))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
     n_removed = F.when(F.col("_left").isNull(), 0).otherwise(F.size(lines) - F.size("_left"))
     text = F.when(F.col("_left").isNull(), F.col("text")).otherwise(F.array_join("_left", LINE))

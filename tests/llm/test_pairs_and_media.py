@@ -250,6 +250,15 @@ def test_line_dedup_of_short_runs(spark):
     assert got == {d: gone.get(d, (t, 0)) for d, t in rows}
 
 
+def test_line_dedup_joins_alike_at_every_size(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(line_dedup, "stored", lambda df, stored=line_dedup.stored: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    out = line_dedup.dedup_lines(frame(spark, [(k, "one\ntwo\nthree\nfour") for k in range(9)]))
+    assert out.where("n_removed = 4").count() == 8
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 4 and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_line_dedup_of_long_texts(spark):
     lines = [f"line {k}" for k in range(60_000)]
     rows = [(1, "\n".join(lines)), (2, "\n".join(["first", *lines[100:50_000], "last"])), (3, "x" * 1_000_000)]
