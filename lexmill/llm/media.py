@@ -18,7 +18,7 @@ from lexmill.llm.common import blocks_of, utf8
 UNIT = 576  #: payloads are padded to a multiple of so many bytes
 WIDEST, HIGHEST = 16384, 16384
 BUNDLED = 16  #: palettes of so few colours put several pixels into one; texts with so few bytes go without
-CACHE_BITS, OFTEN = 8, 8  #: size of colour caches, and how often a value comes at least that is looked up there
+CACHE_BITS, OFTEN = 8, 16  #: size of colour caches, and how often a value comes at least that is looked up there
 CACHED = 512  #: marks samples that came from the cache
 TILE = 9  #: log2 of the side of a predictor's tiles, the largest: an image has one mode
 FEW = 64  #: lanes below which images are decoded one by one
@@ -234,14 +234,14 @@ class _Lane:
         if self.bits.read(1):
             if self.bits.read(2) != webp.PALETTE or (n := self.bits.read(8) + 1) <= BUNDLED:
                 return
-            steps = np.array(webp.pixels_of(self.bits, n, 1, False), np.int64)
+            steps = np.array(webp.small_pixels(self.bits, n, 1), np.int64)
             self.palette = np.zeros(256, np.uint8)
             self.palette[:n] = np.cumsum(steps >> 8 & 255) & 255
             if self.bits.read(1):
                 if self.bits.read(2) != webp.PREDICTOR:
                     return
                 tile = self.bits.read(3) + 2
-                modes = {x >> 8 & 15 for x in webp.pixels_of(self.bits, -(-self.width >> tile), -(-self.height >> tile), False)}
+                modes = {x >> 8 & 15 for x in webp.small_pixels(self.bits, -(-self.width >> tile), -(-self.height >> tile))}
                 self.mode = modes.pop()
                 if modes or self.mode > 2 or self.bits.read(1):
                     return
@@ -257,7 +257,7 @@ class _Lane:
         if cache and self.plain:
             red, blue, alpha = (c.single for c in others[:3])
             symbols = self.array >> 4
-            literals = np.unique(symbols[symbols < 256])
+            literals = np.flatnonzero(np.bincount(symbols, minlength=256)[:256])
             slots = _slots(cache, alpha << 24 | red << 16 | blue)[literals].astype(np.int64)
             held = np.full(1 << cache, -1)
             held[slots] = literals

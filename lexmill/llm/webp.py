@@ -5,7 +5,6 @@ Pixels are 32-bit ARGB numbers. Errors in a stream raise ValueError.
 
 from __future__ import annotations
 
-import heapq
 import struct
 from functools import cached_property, lru_cache
 
@@ -119,11 +118,22 @@ def small_code(lengths: tuple[int, ...]) -> Code:
     return Code(lengths)
 
 
+@lru_cache(4096)
+def one_symbol(k: int, symbols: int) -> Code:
+    if k >= symbols:
+        raise ValueError("a symbol outside its alphabet")
+    lengths = [0] * symbols
+    lengths[k] = 1
+    return Code(lengths)
+
+
 def read_code(bits: Bits, symbols: int) -> Code:
     lengths = [0] * symbols
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
-        for k in [bits.read(8 if wide else 1)] + ([bits.read(8)] if two else []):
+        if not two:
+            return one_symbol(bits.read(8 if wide else 1), symbols)
+        for k in (bits.read(8 if wide else 1), bits.read(8)):
             if k >= symbols:
                 raise ValueError("a symbol outside its alphabet")
             lengths[k] = 1
@@ -226,6 +236,29 @@ def pixels_of(bits: Bits, width: int, height: int, main: bool) -> list[int]:
     return out
 
 
+_known: dict[tuple[int, int], dict[int, dict[int, tuple[int, ...]]]] = {}  #: by size, bits read and their value
+KNOWN, KNOWN_BITS = 512, 2048  #: most images kept of a size and number of bits, and most bits
+
+
+def small_pixels(bits: Bits, width: int, height: int) -> tuple[int, ...]:
+    """pixels_of() of a palette or tile image, which comes again and again: what was read from the same bits is kept."""
+    known = _known.setdefault((width, height), {}) if len(_known) < KNOWN else _known.get((width, height), {})
+    k = bits.at >> 3
+    ahead = int.from_bytes(bits.data[k : k + KNOWN_BITS // 8 + 1], "little") >> (bits.at & 7)
+    for n, found in known.items():
+        if bits.at + n <= bits.end and (out := found.get(ahead & ((1 << n) - 1))) is not None:
+            bits.at += n
+            return out
+    start = bits.at
+    out = tuple(pixels_of(bits, width, height, False))
+    n = bits.at - start
+    if n <= KNOWN_BITS and len(known) < 16:
+        found = known.setdefault(n, {})
+        if len(found) < KNOWN:
+            found[ahead & ((1 << n) - 1)] = out
+    return out
+
+
 def _average(a, b):
     return (a + b) >> 1
 
@@ -397,24 +430,34 @@ def code_lengths(counts, most: int = 12) -> list[int]:
     """Lengths of a Huffman code, `most` bits at most; a lone symbol has length 1."""
     counts = list(counts)
     while True:
-        heap = [(n, k) for k, n in enumerate(counts) if n]
+        leaves = sorted((n, k) for k, n in enumerate(counts) if n)
         out = [0] * len(counts)
-        if len(heap) == 1:
-            out[heap[0][1]] = 1
+        if len(leaves) < 2:
+            for _, k in leaves:
+                out[k] = 1
             return out
-        leaves, above, new = [k for _, k in heap], {}, len(counts)
-        heapq.heapify(heap)
-        while len(heap) > 1:
-            n, a = heapq.heappop(heap)
-            m, b = heap[0]
-            above[a] = above[b] = new
-            heapq.heapreplace(heap, (n + m, new))
-            new += 1
-        depth = {new - 1: 0}
-        for k in range(new - 2, len(counts) - 1, -1):
+        m = len(leaves)  # nodes: leaves by count, then pairs as they are made, whose counts never fall
+        weights, above = [n for n, _ in leaves], [0] * (2 * m)
+        end = weights[-1] * m + sum(weights) + 1
+        weights.append(end)
+        pairs, i, j = [], 0, 0
+        for new in range(m, 2 * m - 1):
+            total = 0
+            for _ in (0, 1):
+                if j < len(pairs) and pairs[j] < weights[i]:
+                    total += pairs[j]
+                    above[m + j] = new
+                    j += 1
+                else:
+                    total += weights[i]
+                    above[i] = new
+                    i += 1
+            pairs.append(total)
+        depth = [0] * (2 * m)
+        for k in range(2 * m - 3, -1, -1):
             depth[k] = depth[above[k]] + 1
-        for k in leaves:
-            out[k] = depth[above[k]] + 1
+        for k, (_, s) in enumerate(leaves):
+            out[s] = depth[k]
         if max(out, default=0) <= most:
             return out
         counts = [n and (n >> 1) + 1 for n in counts]  # flatter
@@ -439,21 +482,17 @@ def put_code(out: Writer, lengths: list[int]) -> dict[int, tuple[int, int]]:
         out.put(4 if k in _SAID else 0, 3)
     out.put(0, 1)  # all symbols' lengths follow
     value = size = at = 0
-
-    def say(code: int, n: int) -> None:
-        nonlocal value, size
-        value |= code << size
-        size += n
-
     for k in [*used, len(lengths)]:
-        while (run := min(k - at, 138)) >= 3:
-            if run >= 11:
-                say(_SAID[18][0] | run - 11 << _SAID[18][1], _SAID[18][1] + 7)
-            else:
-                say(_SAID[17][0] | run - 3 << _SAID[17][1], _SAID[17][1] + 3)
+        while k - at >= 3:
+            run = min(k - at, 138)
+            code, n, extra, least = (*_SAID[18], 7, 11) if run >= 11 else (*_SAID[17], 3, 3)
+            value |= (code | run - least << n) << size
+            size += n + extra
             at += run
-        for n in lengths[at : k + 1]:
-            say(*_SAID[n])
+        for x in lengths[at : k + 1]:
+            code, n = _SAID[x]
+            value |= code << size
+            size += n
         at = k + 1
     out.put(value, size)
     if len(used) == 1:

@@ -406,6 +406,24 @@ def test_media_of_texts(spark):
     assert media.describe_media(media.store_texts(frame(spark, []))).count() == 0
 
 
+def least_bits(counts):
+    left, total = sorted(n for n in counts if n), 0
+    while len(left) > 1:
+        total += left[0] + left[1]
+        left = sorted([left[0] + left[1], *left[2:]])
+    return total
+
+
+def test_code_lengths_are_optimal():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        counts = r.choice([0, 0, 1, 1, 2, 3, 8, int(r.integers(1, 300))], int(r.integers(2, 300))).tolist() + [1, 2]
+        lengths, short = webp.code_lengths(counts, 99), webp.code_lengths(counts)
+        assert sum(2.0**-n for n in lengths if n) == sum(2.0**-n for n in short if n) == 1 and max(short) <= 12
+        assert sum(map(np.prod, zip(lengths, counts))) == least_bits(counts)
+    assert webp.code_lengths([0, 5]) == [0, 1] and webp.code_lengths([0, 0]) == [0, 0]
+
+
 def test_media_files_have_palette_predictor_and_cache():
     r = np.random.default_rng(4)
     text = lambda n, a, b: "".join(map(chr, r.integers(a, b, n))).encode()
