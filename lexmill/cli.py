@@ -21,7 +21,7 @@ def build(spark: SparkSession, corpus: str, out: str, nltk: bool = False, binary
         print(f"no corpus in {corpus}", file=sys.stderr)
         raise SystemExit(1)
     docs = read_corpus(spark, corpus)
-    index = postings(docs, nltk)
+    index = postings(docs, nltk, unique=True)
     if binary:
         export_index(posting_lists(index), out)
     elif shards:

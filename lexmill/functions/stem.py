@@ -8,7 +8,7 @@ l, and two-letter vowel-consonant stems counting as short.
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +33,18 @@ ONCE, TWICE, EXACTLY = f"^({C})?{V}{C}", f"^({C})?{V}{C}{V}{C}", f"^({C})?{V}{C}
 VOWEL, SHORT, TWIN = f"^({C})?[aeiouy]", "^[^aeiou][^aeiouy]*[aeiouy][^aeiouwxyY]$", "bb|cc|dd|ff|gg|hh|jj|kk|mm|nn|pp|qq|rr|tt|vv|ww|xx|11|22|33|44|55|66|77|88|99|00"
 
 
+def _made(x):
+    """What stands for a test or value: itself, or what a function of nothing gives."""
+    return x() if callable(x) else x
+
+
+@lru_cache
+def _endings(rules: tuple) -> tuple[str, ...]:
+    return tuple(s for s, _ in rules)
+
+
 class _Words:
-    """Operations on a Python string, with the names that _Columns gives them on a Column."""
+    """Operations on a Python string, with the names that _Columns gives them on a Column. Only what is needed is worked out."""
 
     def ends(self, w, suffix):
         return w.endswith(suffix)
@@ -52,13 +62,20 @@ class _Words:
         return len(w)
 
     def choose(self, cases, otherwise):
-        return next((value for test, value in cases if test), otherwise)
+        return next((_made(value) for test, value in cases if _made(test)), otherwise)
+
+    def swap(self, w, rules, test):
+        for s, to in rules if w.endswith(_endings(rules)) else ():
+            if w.endswith(s):
+                stem = w[: len(w) - len(s)]
+                return stem + to if test(stem, s) else w
+        return w
 
     def both(self, *tests):
-        return all(tests)
+        return all(_made(x) for x in tests)
 
     def either(self, *tests):
-        return any(tests)
+        return any(_made(x) for x in tests)
 
     def no(self, test):
         return not test
@@ -84,14 +101,18 @@ class _Columns:
         return F.length(w)
 
     def choose(self, cases, otherwise):
-        first, *rest = cases
+        first, *rest = [(_made(test), _made(value)) for test, value in cases]
         return reduce(lambda out, x: out.when(*x), rest, F.when(*first)).otherwise(otherwise)
 
+    def swap(self, w, rules, test):
+        cases = [(self.ends(w, s), self.choose([(test(self.cut(w, len(s)), s), self.add(self.cut(w, len(s)), to))], w)) for s, to in rules]
+        return self.choose(cases, w)
+
     def both(self, *tests):
-        return reduce(lambda a, b: a & b, tests)
+        return reduce(lambda a, b: a & b, map(_made, tests))
 
     def either(self, *tests):
-        return reduce(lambda a, b: a | b, tests)
+        return reduce(lambda a, b: a | b, map(_made, tests))
 
     def no(self, test):
         return ~test
@@ -101,12 +122,13 @@ def _steps(o, nltk: bool):
     """The steps as functions of a word, for either kind of operations."""
 
     def short(w):
-        exact = o.both(o.fits(w, EXACTLY), o.fits(w, SHORT))
-        return o.either(exact, o.fits(w, "^[aeiouy][^aeiouy]$")) if nltk else exact
+        exact = o.both(lambda: o.fits(w, EXACTLY), lambda: o.fits(w, SHORT))
+        return o.either(exact, lambda: o.fits(w, "^[aeiouy][^aeiouy]$")) if nltk else exact
 
-    def swap(w, rules, test):
-        cases = [(o.ends(w, s), o.choose([(test(o.cut(w, len(s)), s), o.add(o.cut(w, len(s)), to))], w)) for s, to in rules]
-        return o.choose(cases, w)
+    swap = o.swap
+    step_2_rules, step_3_rules, step_4_rules = tuple(STEP_2), tuple(STEP_3), tuple((s, "") for s in STEP_4)
+    others = [(s, to) for s, to in STEP_2 if s != "alli"]
+    step_2_nltk = (*others[:-1], ("fulli", "ful"), others[-1])
 
     def step_1a(w):
         ies = o.choose([(o.size(w) == 4, o.cut(w, 1))], o.cut(w, 2)) if nltk else o.cut(w, 2)
@@ -114,47 +136,61 @@ def _steps(o, nltk: bool):
 
     def mended(w):
         again = o.either(o.ends(w, "at"), o.ends(w, "bl"), o.ends(w, "iz"))
-        twin = o.fits(w, f"({TWIN})$")
-        return o.choose([(again, o.add(w, "e")), (twin, o.cut(w, 1)), (o.either(o.ends(w, "ll"), o.ends(w, "ss"), o.ends(w, "zz")), w), (short(w), o.add(w, "e"))], w)
+        return o.choose([(again, o.add(w, "e")), (lambda: o.fits(w, f"({TWIN})$"), o.cut(w, 1)), (o.either(o.ends(w, "ll"), o.ends(w, "ss"), o.ends(w, "zz")), w), (lambda: short(w), o.add(w, "e"))], w)
 
     def step_1b(w):
         ied = [(o.ends(w, "ied"), o.choose([(o.size(w) == 4, o.cut(w, 1))], o.cut(w, 2)))] if nltk else []
-        eed = o.choose([(o.fits(o.cut(w, 3), ONCE), o.cut(w, 1))], w)
-        cut = [(o.both(o.ends(w, s), o.fits(o.cut(w, len(s)), VOWEL)), mended(o.cut(w, len(s)))) for s in ("ed", "ing")]
-        return o.choose([*ied, (o.ends(w, "eed"), eed), *cut], w)
+
+        def eed():
+            return o.choose([(o.fits(o.cut(w, 3), ONCE), o.cut(w, 1))], w)
+
+        def cut(s):
+            return o.both(o.ends(w, s), lambda: o.fits(o.cut(w, len(s)), VOWEL)), lambda: mended(o.cut(w, len(s)))
+
+        return o.choose([*ied, (o.ends(w, "eed"), eed), cut("ed"), cut("ing")], w)
 
     def step_1c(w):
         stem = o.cut(w, 1)
-        test = o.both(o.size(stem) > 1, o.fits(stem, "([^aeiouy]|[aeiou]y)$")) if nltk else o.fits(stem, VOWEL)
+
+
+        def test():
+            return o.both(o.size(stem) > 1, o.fits(stem, "([^aeiouy]|[aeiou]y)$")) if nltk else o.fits(stem, VOWEL)
+
         return o.choose([(o.both(o.ends(w, "y"), test), o.add(stem, "i"))], w)
 
     def step_2(w):
         if not nltk:
-            return swap(w, STEP_2, lambda stem, _: o.fits(stem, ONCE))
-        rules = [(s, to) for s, to in STEP_2 if s != "alli"]
-        rules.insert(-1, ("fulli", "ful"))
-        return swap(w, rules, lambda stem, s: o.fits(o.add(stem, "l") if s == "logi" else stem, ONCE))
+            return swap(w, step_2_rules, lambda stem, _: o.fits(stem, ONCE))
+        return swap(w, step_2_nltk, lambda stem, s: o.fits(o.add(stem, "l") if s == "logi" else stem, ONCE))
 
     def alli(w):
-        return o.choose([(o.both(o.ends(w, "alli"), o.fits(o.cut(w, 4), ONCE)), o.cut(w, 2))], w)
+        return o.choose([(o.both(o.ends(w, "alli"), lambda: o.fits(o.cut(w, 4), ONCE)), o.cut(w, 2))], w)
 
     def step_3(w):
-        return swap(w, STEP_3, lambda stem, _: o.fits(stem, ONCE))
+        return swap(w, step_3_rules, lambda stem, _: o.fits(stem, ONCE))
 
     def step_4(w):
-        return swap(w, [(s, "") for s in STEP_4], lambda stem, s: o.both(o.fits(stem, TWICE), o.fits(stem, "[st]$")) if s == "ion" else o.fits(stem, TWICE))
+        return swap(w, step_4_rules, lambda stem, s: o.both(lambda: o.fits(stem, TWICE), lambda: o.fits(stem, "[st]$")) if s == "ion" else o.fits(stem, TWICE))
 
     def step_5a(w):
         stem = o.cut(w, 1)
-        test = o.either(o.fits(stem, TWICE), o.both(o.fits(stem, EXACTLY) if not nltk else o.fits(stem, ONCE), o.no(short(stem))))
+
+        def test():
+            return o.either(lambda: o.fits(stem, TWICE), lambda: o.both(lambda: o.fits(stem, EXACTLY if not nltk else ONCE), lambda: o.no(short(stem))))
+
         return o.choose([(o.both(o.ends(w, "e"), test), stem)], w)
 
     def step_5b(w):
-        return o.choose([(o.both(o.ends(w, "ll"), o.fits(o.cut(w, 1), TWICE)), o.cut(w, 1))], w)
+        return o.choose([(o.both(o.ends(w, "ll"), lambda: o.fits(o.cut(w, 1), TWICE)), o.cut(w, 1))], w)
 
     return [step_1a, step_1b, step_1c, *([alli] if nltk else []), step_2, step_3, step_4, step_5a, step_5b]
 
 
+@lru_cache
+def _word_steps(nltk: bool):
+    return _steps(_Words(), nltk)
+
+
 def stem(word: str, nltk: bool = False) -> str:
     """The stem of one folded word."""
     if nltk and word in IRREGULAR:
@@ -162,7 +198,7 @@ def stem(word: str, nltk: bool = False) -> str:
     if len(word) <= 2:
         return word
     w = "Y" + word[1:] if word[0] == "y" else word
-    for step in _steps(_Words(), nltk):
+    for step in _word_steps(nltk):
         w = step(w)
     return w.replace("Y", "y")
 

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexmill.functions import terms
 from lexmill.functions.stem import with_stem
-from lexmill.functions.text import is_stop_word, surface_tokens
+from lexmill.functions.text import surface_tokens
+from lexmill.sources.scratch import step
 
 
 def vocabulary(docs: DataFrame, nltk: bool = False) -> DataFrame:
@@ -17,30 +19,33 @@ def vocabulary(docs: DataFrame, nltk: bool = False) -> DataFrame:
     return with_stem(docs.select(F.explode(F.array_distinct(surface_tokens(F.col("text")))).alias("surface")).distinct(), "surface", nltk=nltk)
 
 
-def _stemmed(tokens: DataFrame, nltk: bool, post_stop: bool) -> DataFrame:
-    """tokens(surface, ...) with term. Stems are worked out once a distinct token and joined back; Spark broadcasts the
-    vocabulary only if its measured size allows it, and splits skewed tokens otherwise."""
-    stems = with_stem(tokens.select("surface").distinct(), "surface", "term", nltk)
-    out = tokens.join(stems, "surface").drop("surface")
-    return out.where(~is_stop_word(F.col("term"))) if post_stop else out
+def once(docs: DataFrame) -> bool:
+    """Whether no doc_id recurs. A job over the doc_ids alone; what is worked out of a single document need then not be
+    made distinct, or summed, by a shuffle."""
+    return docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
-def postings(docs: DataFrame, nltk: bool = False, post_stop: bool = True) -> DataFrame:
-    """(term, doc_id), distinct. Tokens are made distinct within each document before any shuffle."""
-    tokens = docs.select("doc_id", F.explode(F.array_distinct(surface_tokens(F.col("text")))).alias("surface"))
-    return _stemmed(tokens, nltk, post_stop).select("term", "doc_id").distinct()
+def postings(docs: DataFrame, nltk: bool = False, post_stop: bool = True, unique: bool | None = None) -> DataFrame:
+    """(term, doc_id), distinct. Tokens are made distinct, and stemmed, within each document; only if doc_ids recur are
+    they shuffled. unique says whether doc_ids do not, if that is known."""
+    out = terms.pairs(docs, nltk, post_stop)
+    return out if (once(docs) if unique is None else unique) else out.distinct()
 
 
-def term_frequencies(docs: DataFrame, nltk: bool = False) -> DataFrame:
+def term_frequencies(docs: DataFrame, nltk: bool = False, unique: bool | None = None) -> DataFrame:
     """(term, doc_id, tf): postings with counts."""
-    tokens = docs.select("doc_id", F.explode(surface_tokens(F.col("text"))).alias("surface")).groupBy("doc_id", "surface").agg(F.count("*").alias("n"))
-    return _stemmed(tokens, nltk, True).groupBy("term", "doc_id").agg(F.sum("n").alias("tf"))
+    out = terms.counts(docs, nltk)
+    return out if (once(docs) if unique is None else unique) else out.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
 
 
 def normalized(docs: DataFrame, nltk: bool = False) -> DataFrame:
     """(doc_id, pos, term): normalised tokens in order, repeats kept; pos numbers tokens before the last filter."""
-    tokens = docs.select("doc_id", F.posexplode(surface_tokens(F.col("text"))).alias("pos", "surface"))
-    return _stemmed(tokens, nltk, True).select("doc_id", F.col("pos").cast("long").alias("pos"), "term")
+    return terms.in_order(docs, nltk)
+
+
+def distinct_terms(docs: DataFrame, nltk: bool = False) -> DataFrame:
+    """(term): the terms of the index."""
+    return terms.distinct_terms(docs, nltk)
 
 
 def posting_lists(index: DataFrame) -> DataFrame:
@@ -65,10 +70,14 @@ def universe(index: DataFrame) -> DataFrame:
 
 
 def write_index(index: DataFrame, path: str, shards: int | None = None) -> None:
-    """Parquet sorted by term, so that row-group statistics find a term's rows; sharded tables have a folder a shard."""
+    """Parquet sorted by term, so that row-group statistics find a term's rows; sharded tables have a folder a shard.
+
+    The index is worked out once, into a folder beside the path that is deleted at the end: ranges are sampled first.
+    """
     keys = ["shard", "term", "doc_id"] if shards else ["term", "doc_id"]
-    out = index.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite")
-    (out.partitionBy("shard") if shards else out).parquet(path)
+    with step(index, f"{path.rstrip('/')}.unsorted") as rows:
+        out = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite")
+        (out.partitionBy("shard") if shards else out).parquet(path)
 
 
 @dataclass(frozen=True)
@@ -94,9 +103,9 @@ class StoredIndex:
 
 def store_index(docs: DataFrame, path: str, nltk: bool = False) -> StoredIndex:
     """Builds the index of docs(doc_id, text) once and writes it; queries then read what row-group statistics leave of it."""
-    term_frequencies(docs, nltk).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/tf")
-    tf = docs.sparkSession.read.parquet(f"{path}/tf")
-    tf.groupBy("doc_id").agg(F.sum("tf").alias("len")).write.mode("overwrite").parquet(f"{path}/documents")
+    with step(term_frequencies(docs, nltk), f"{path}/unsorted") as rows:
+        rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/tf")
+        rows.groupBy("doc_id").agg(F.sum("tf").alias("len")).write.mode("overwrite").parquet(f"{path}/documents")
     return StoredIndex.open(docs.sparkSession, path)
 
 

@@ -94,7 +94,7 @@ def index_sorted(spark, d):
 
 @register()
 def term_crc32(spark, d):
-    return ix.document_frequency(index(spark, d)).select("term", F.crc32(F.col("term").cast("binary")).alias("crc"))
+    return ix.distinct_terms(docs(spark, d)).select("term", F.crc32(F.col("term").cast("binary")).alias("crc"))
 
 
 @register(indexed("SELECT term, doc_id FROM postings"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,3 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession) -> str:
     """A new folder's path below the shared one."""
     return f"{shared_dir(spark).rstrip('/')}/lexmill-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def step(df: DataFrame, path: str):
+    """df written to a folder and read back, for plans that read it more than once; the folder is deleted at the end."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
