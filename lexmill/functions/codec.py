@@ -4,34 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from lexmill.functions import pieces
 
 
 def gaps(index: DataFrame, docs_a_block: int = 1 << 20) -> DataFrame:
     """(term, pos, gap): differences of a term's ascending doc_ids, the first from 0.
 
-    Lists are worked on in blocks of doc_ids; a block starts from the count and the last doc_id of those before it.
+    Lists are shuffled as arrays, by blocks of doc_ids; a block starts from the count and the last doc_id of those before
+    it. A null doc_id comes last and has no gap.
     """
-    rows = index.select("term", "doc_id", F.floor(F.col("doc_id") / docs_a_block).alias("block"))
-    blocks = rows.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
-    w = Window.partitionBy("term").orderBy("block")
-    starts = blocks.select("term", "block", (F.sum("n").over(w) - F.col("n")).alias("from"), F.coalesce(F.lag("last").over(w), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("term", "block").orderBy("doc_id")
-    out = rows.join(starts, ["term", "block"])
-    before = F.coalesce(F.lag("doc_id").over(inside), F.col("base"))
-    return out.select("term", (F.col("from") + F.row_number().over(inside) - 1).alias("pos"), (F.col("doc_id") - before).alias("gap"))
+    return pieces.gaps(index, docs_a_block)
 
 
 def ungapped(coded: DataFrame, gaps_a_block: int = 1 << 20) -> DataFrame:
     """(term, doc_id) from (term, pos, gap): running sums within blocks of gaps, from the sum of the blocks before."""
-    rows = coded.select("term", "pos", "gap", F.floor(F.col("pos") / gaps_a_block).alias("block"))
-    w = Window.partitionBy("term").orderBy("block")
-    starts = rows.groupBy("term", "block").agg(F.sum("gap").alias("n"))
-    starts = starts.select("term", "block", (F.sum("n").over(w) - F.col("n")).alias("from"))
-    inside = Window.partitionBy("term", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.join(starts, ["term", "block"]).select("term", (F.col("from") + F.sum("gap").over(inside)).alias("doc_id"))
+    return pieces.ungapped(coded, gaps_a_block)
 
 
 def gap_list(ids: Column) -> Column:

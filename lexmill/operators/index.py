@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexmill.functions import terms
+from lexmill.functions import pieces, terms
 from lexmill.functions.stem import with_stem
 from lexmill.functions.text import surface_tokens
 from lexmill.sources.scratch import step
@@ -51,13 +51,12 @@ def distinct_terms(docs: DataFrame, nltk: bool = False) -> DataFrame:
 def posting_lists(index: DataFrame) -> DataFrame:
     """(term, df, doc_ids): sorted lists. A list is as long as its term is frequent; use postings for queries, and
     posting_blocks() where a list may be too long for one row."""
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
+    return pieces.merged(index).select("term", "df", "doc_ids")
 
 
 def posting_blocks(index: DataFrame, docs_a_block: int = 1 << 20) -> DataFrame:
     """(term, block, df, doc_ids): lists cut by ranges of doc_ids, so that no row has more than docs_a_block of them."""
-    block = F.floor(F.col("doc_id") / docs_a_block).alias("block")
-    return index.groupBy("term", block).agg(F.count("*").alias("df"), F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
+    return pieces.merged(index, docs_a_block)
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
