@@ -382,7 +382,8 @@ def shard_assign(spark, d):
 
 @register(indexed("SELECT DISTINCT term, least(doc_id // greatest(1, (SELECT count(*) FROM documents) // 4), 3) AS shard FROM postings"))
 def shard_catalog(spark, d):
-    return ix.shard_catalog(held(spark, d).postings.join(ix.with_shards(docs(spark, d).select("doc_id"), 4), "doc_id"))
+    shard = ix.shard_of(F.col("doc_id"), F.lit(docs(spark, d).count()), 4)  # what with_shards() gives the documents
+    return ix.shard_catalog(held(spark, d).postings.withColumn("shard", shard))
 
 
 @register(indexed(f"{has('thtion')}{_AND}({_U} EXCEPT {has('en')})"))
