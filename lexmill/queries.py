@@ -232,8 +232,7 @@ def vbyte_encode(spark, d):
 @register(indexed("SELECT term, doc_id FROM postings"))
 def vbyte_roundtrip(spark, d):
     coded = ix.posting_lists(held(spark, d).postings).select("term", codec.vbyte(codec.gap_list(F.col("doc_ids"))).alias("payload"))
-    back = coded.select("term", F.posexplode(codec.unvbyte(F.col("payload"))).alias("pos", "gap"))
-    return codec.ungapped(back)
+    return coded.select("term", F.explode(codec.ungap_list(codec.unvbyte(F.col("payload")))).alias("doc_id"))
 
 
 @register(indexed("SELECT p.term, df.df FROM (SELECT term, list(DISTINCT doc_id) AS doc_ids FROM postings GROUP BY term) AS p JOIN df USING (term) WHERE len(p.doc_ids) <> df.df"))
