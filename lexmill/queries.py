@@ -15,7 +15,7 @@ from lexmill.operators import index as ix
 from lexmill.operators import stats
 from lexmill.oracle import GAPS, INDEX, STEMS, STOPS, TF, has, indexed, stem_ctes
 from lexmill.plans.boolean import BooleanEngine, batch, formatted, one_scan, relational, routed
-from lexmill.sources.binary_index import export_index, import_index
+from lexmill.sources.binary_index import export_files, import_index
 from lexmill.sources.results import latest_results
 from lexmill.sources.scratch import fresh_path
 
@@ -99,13 +99,14 @@ def term_crc32(spark, d):
 
 @register(indexed("SELECT term, doc_id FROM postings"))
 def binary_roundtrip(spark, d):
-    """Export to one file on the driver, copy to the shared folder and import."""
-    where = f"{fresh_path(spark)}.bin"
+    """Export to index files of some MB by the driver, each moved to the shared folder once it is whole, and import."""
+    folder = fresh_path(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    shared = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    shared.mkdirs(path(folder))
     with tempfile.TemporaryDirectory() as local:
-        export_index(ix.posting_lists(held(spark, d).postings), f"{local}/index.bin")
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        path(where).getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(path(f"file://{local}/index.bin"), path(where))
-    return import_index(spark, where, verify=True).select("term", F.explode("doc_ids").alias("doc_id"))
+        export_files(ix.posting_lists(held(spark, d).postings), local, ended=lambda x: shared.copyFromLocalFile(True, path(f"file://{x}"), path(folder)))
+    return import_index(spark, folder, verify=True).select("term", F.explode("doc_ids").alias("doc_id"))
 
 
 LINES = ["# a comment", "", "en er \\and", "  es  ", "   # another", "nd \\not"]
